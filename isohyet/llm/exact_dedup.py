@@ -10,7 +10,7 @@ digest is compared byte by byte: equal means a repeat of historical content;
 all others are nonmembers and are grouped by digest on their own.
 
 Cases: a null text is an empty one, and all empty or white texts are one group;
-ties go to the smallest id; repeated rows count each; an empty table or an
+ties go to the smallest id; repeated rows count each; a row without an id is left out; an empty table or an
 empty history is fine; only the id and the text are read.
 """
 
@@ -44,7 +44,7 @@ class Index:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars (code points of the original text), digest (SHA-256 of the text without white space)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_chars"), F.unhex(F.sha2(without_white_space(text), 256)).alias("digest"))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_chars"), F.unhex(F.sha2(without_white_space(text), 256)).alias("digest"))
 
 
 def _best() -> Column:

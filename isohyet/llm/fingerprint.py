@@ -12,7 +12,7 @@ c = 2^-BITS, the chance that different values agree, clamped to 0..1.
 Cases: a null text is an empty one; texts without words have the fingerprint of
 the empty set, which is alike with itself and no other; very long texts are
 taken whole; equal texts have equal fingerprints; rows that repeat an id are
-ordered by text; an empty table gives an empty result; a table of one document
+ordered by text; a row without an id is left out; an empty table gives an empty result; a table of one document
 has itself as the next; of the input only the id and the text are read.
 """
 
@@ -67,7 +67,7 @@ def densified(values: Column) -> Column:
 
         def of(bins: Column) -> Column:
             def one(b: Column) -> Column:
-                # A borrowed value is hashed with the bin, so that equal donors of different bins count apart.
+                # The order of a bin: its donors by the hash of both numbers.
                 donor = lambda: F.array_min(F.transform(v, lambda h: F.struct(F.xxhash64(b, bin_of(h)).alias("o"), h.alias("h"))))["h"]
                 at = F.array_position(bins, b)
                 return F.when(at > 0, F.get(v, (at - 1).cast("int"))).otherwise(donor())
@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     many of the first of the next document's, or all if it has fewer.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     rows = with_next(rows, scratch)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")

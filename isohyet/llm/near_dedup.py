@@ -20,7 +20,7 @@ At 85 of 100, a pair is missed by all bands with a probability of 3e-7 or less.
 Cases: null texts and texts without words have empty sets, link with nothing
 and are kept; very long texts are taken whole; equal sets of any number cost
 one representative; rows that repeat an id count as one document with the
-shingles of the first by text; an empty table gives an empty result; of the
+shingles of the first by text; a row without an id is left out; an empty table gives an empty result; of the
 input only the id and the text are read.
 """
 
@@ -260,7 +260,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", te
     Documents are linked if 100 * intersection >= percent * union of their shingle sets.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
-    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL")
     rows = scratch.write(texts.mapInArrow(_described, "doc_id bigint, n_shingles bigint, one bigint, two bigint, bands array<bigint>"), "rows")
     some = rows.where("n_shingles > 0")
     classes = scratch.write(some.groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")

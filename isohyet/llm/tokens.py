@@ -6,7 +6,8 @@ its documents to it by both digests, encodes one document of each text that
 the cache lacks, appends those counts, and joins again.
 
 Cases: a null text counts as an empty one; very long texts are encoded whole;
-equal texts share one entry, so repeated rows give repeated results; an empty
+equal texts share one entry, so repeated rows give repeated results; a row
+without an id is left out; an empty
 table gives an empty result; of the input only the id and the text are read.
 """
 
@@ -159,6 +160,7 @@ def count_tokens(docs: DataFrame, path: str, *, cache: str | None = None, limit:
     the shared folder.
     """
     spark = docs.sparkSession
+    docs = docs.where(F.col(id_col).isNotNull())
     scratch = Scratch(spark, "token-counts")
     cache = cache or f"{scratch.base}/cache"
     version, by_chunk = tokenizer_digest(path), drops_white_space(path)
