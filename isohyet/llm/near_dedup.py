@@ -7,10 +7,11 @@
 2. Documents with equal sets form a class; from here on only class
    representatives (smallest id) go on, and membership is joined back at the end.
 3. Representatives that agree on a band meet in a bucket.  Buckets never emit
-   all pairs: a round links one centre to the other members, the star.  First
-   the member that meets most others is the centre, later a random one by band.
+   all pairs: a round links centres to the other members, stars.  First the
+   member that meets most others is the centre; later rounds have 1, 2, 4, ...
+   times as many centres, random ones by band.
    Candidates that can reach the threshold by size are confirmed on full sets,
-   components are updated, a centre leaves its bucket.  Rounds go on until each
+   components are updated, centres leave their buckets.  Rounds go on until each
    bucket holds members of one component only, so in the end every pair that
    shares a bucket is confirmed, refuted, or within one component.
 4. Components are the least id reachable over confirmed links.
@@ -222,24 +223,30 @@ def link(nodes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) ->
     sets = scratch.write(texts.join(meets.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, items array<bigint>"), "sets")
     open_ = members.join(meets, "node").select("band", "key", "node", "size", "meets", F.col("node").alias("root"))
     roots = None
-    links = []
+    links, tested = [], []
     turn = 0
     while True:
         open_ = scratch.write(open_, f"open-{turn}")
         if turn and not open_.limit(1).count():
             break
-        rank = F.struct(-F.col("meets"), F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(turn)), F.col("node"))
-        star = open_.groupBy("band", "key").agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "root").alias("at"))).alias("c"))
-        star = star.select("band", "key", F.col("c.at.node").alias("centre"), F.col("c.at.size").alias("centre_size"), F.col("c.at.root").alias("centre_root"))
+        # Turn t has up to 2^t stars a bucket, one centre for each lane of members, so turns are few.
+        lane = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.lit(1 << min(turn, 40)))
+        rank = F.struct(-F.col("meets"), F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(-turn)), F.col("node"))
+        star = open_.groupBy("band", "key", lane.alias("lane")).agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "root").alias("at"))).alias("c"))
+        star = scratch.write(star.select("band", "key", F.col("c.at.node").alias("centre"), F.col("c.at.size").alias("centre_size"), F.col("c.at.root").alias("centre_root")), f"star-{turn}")
         spokes = open_.join(star, ["band", "key"])
         asked = spokes.where((F.col("root") != F.col("centre_root")) & (100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")))
-        pairs = scratch.write(asked.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), f"pairs-{turn}")
+        pairs = asked.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        pairs = scratch.write(pairs, f"pairs-{turn}")
+        tested.append(pairs)
         one = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
         two = one.join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
         common = F.size(F.array_intersect("items_a", "items_b"))
         whole = F.size("items_a") + F.size("items_b") - common
         found = scratch.write(two.where(100 * common >= percent * whole).select("a", "b"), f"links-{turn}")
-        rest = spokes.where(F.col("node") != F.col("centre")).select("band", "key", "node", "size", "meets", "root")
+        rest = open_.join(star.select("band", "key", F.col("centre").alias("node")), ["band", "key", "node"], "left_anti").select("band", "key", "node", "size", "meets", "root")
         if found.limit(1).count():
             links.append(found)
             every = links[0]
