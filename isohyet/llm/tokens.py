@@ -185,5 +185,6 @@ def count_tokens(docs: DataFrame, path: str, *, cache: str | None = None, limit:
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(chosen, "doc_id", "left_semi")
     misses = texts.select(content_digest(F.col("text"), by_chunk).alias("content"), "text").mapInArrow(run, "content binary, n_tokens bigint")
+    misses = misses.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # rows may repeat an id
     scratch.append(misses.select(F.lit(version).alias("tokenizer"), "content", "n_tokens"), cache)
     return known.join(stored(), "content", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
