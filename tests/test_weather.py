@@ -81,7 +81,7 @@ def test_empty_category(spark):
 
 
 def test_onset_and_censoring(spark):
-    days = [(1, dt.date(2001, 5, 1) + dt.timedelta(days=i), 10.0 if i in (5, 6) or i > 40 and i % 3 == 0 else 0.0) for i in range(200)]
+    days = [(1, dt.date(2001, 5, 1) + dt.timedelta(days=i), 10.0 if i in (5, 6) else 20.0 if i > 40 and i % 3 == 0 else 0.0) for i in range(200)]
     obs = spark.createDataFrame(days, "site_id int, t date, PRCP double")
     row = s.onset(obs, (2001, 2001)).first()
     assert row.value == 40.0 and row.event_observed == 1.0  # the first rains are a false start: a dry spell follows
