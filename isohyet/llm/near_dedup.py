@@ -9,9 +9,13 @@
 3. Representatives that agree on a band meet in a bucket.  Buckets never emit
    all pairs: a round links centres to the other members, stars.  First the
    member that meets most others is the centre; later rounds have 1, 2, 4, ...
-   times as many centres, random ones by band.
-   Candidates that can reach the threshold by size are confirmed on full sets,
-   components are updated, centres leave their buckets.  Rounds go on until each
+   times as many centres, one a random lane, the one with fewest shingles of
+   its own.
+   A shingle that no other set has is in no intersection, so the others bound
+   what a set can share; pairs that can reach the threshold within that bound
+   are confirmed on full sets, the others cannot be links, and a set that can
+   reach it with no other leaves its buckets at once.
+   Components are updated, centres leave their buckets.  Rounds go on until each
    bucket holds members of one component only, so in the end every pair that
    shares a bucket is confirmed, refuted, or within one component.
 4. Components are the least id reachable over confirmed links.
@@ -40,6 +44,8 @@ BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 #: Bytes of text that are hashed at once.
 AT_ONCE = 4_000_000
+#: Columns of a bucket's member; shared: the shingles that another set has as well.
+OPEN = ["band", "key", "node", "size", "shared", "meets", "root"]
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -214,6 +220,18 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
             return roots
 
 
+def unsettled(open_: DataFrame) -> DataFrame:
+    """The members of buckets that have members of two components at least; the other buckets are done."""
+    mixed = open_.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    return open_.join(mixed, ["band", "key"], "left_semi")
+
+
+def own_items(sets: DataFrame) -> DataFrame:
+    """(node, own): how many of a set's items no other set has; sets without such items are left out."""
+    items = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    return items.where("n = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+
+
 def link(nodes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """(node, root) of all nodes in components of two or more.  nodes: node, size, bands; texts: node, text."""
     buckets = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
@@ -221,21 +239,24 @@ def link(nodes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) ->
     members = scratch.write(buckets.join(crowded, ["band", "key"]), "members")
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     sets = scratch.write(texts.join(meets.select("node"), "node", "left_semi").select("node", "text").mapInArrow(_sets, "node bigint, items array<bigint>"), "sets")
-    open_ = members.join(meets, "node").select("band", "key", "node", "size", "meets", F.col("node").alias("root"))
+    known = meets.join(own_items(sets), "node", "left").select("node", "meets", F.coalesce("own", F.lit(0)).alias("own"))
+    open_ = members.join(scratch.write(known, "known"), "node").withColumn("shared", F.col("size") - F.col("own"))
+    open_ = unsettled(open_.where(100 * F.col("shared") >= percent * F.col("size")).withColumn("root", F.col("node")).select(*OPEN))
     roots = None
     links, tested = [], []
     turn = 0
     while True:
         open_ = scratch.write(open_, f"open-{turn}")
-        if turn and not open_.limit(1).count():
+        if not open_.limit(1).count():
             break
         # Turn t has up to 2^t stars a bucket, one centre for each lane of members, so turns are few.
         lane = F.pmod(F.xxhash64("node", "band", F.lit(turn)), F.lit(1 << min(turn, 40)))
-        rank = F.struct(-F.col("meets"), F.col("node")) if turn == 0 else F.struct(F.xxhash64("node", "band", F.lit(-turn)), F.col("node"))
-        star = open_.groupBy("band", "key", lane.alias("lane")).agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "root").alias("at"))).alias("c"))
-        star = scratch.write(star.select("band", "key", F.col("c.at.node").alias("centre"), F.col("c.at.size").alias("centre_size"), F.col("c.at.root").alias("centre_root")), f"star-{turn}")
+        rank = F.struct(-F.col("meets"), F.col("node")) if turn == 0 else F.struct((F.col("size") - F.col("shared")).alias("own"), F.xxhash64("node", "band", F.lit(-turn)).alias("chance"), F.col("node"))
+        star = open_.groupBy("band", "key", lane.alias("lane")).agg(F.min(F.struct(rank.alias("rank"), F.struct("node", "size", "shared", "root").alias("at"))).alias("c"))
+        star = scratch.write(star.select("band", "key", F.col("c.at.node").alias("centre"), F.col("c.at.size").alias("centre_size"), F.col("c.at.shared").alias("centre_shared"), F.col("c.at.root").alias("centre_root")), f"star-{turn}")
         spokes = open_.join(star, ["band", "key"])
-        asked = spokes.where((F.col("root") != F.col("centre_root")) & (100 * F.least("size", "centre_size") >= percent * F.greatest("size", "centre_size")))
+        most = F.least("shared", "centre_shared")  # no intersection is larger
+        asked = spokes.where((F.col("root") != F.col("centre_root")) & (100 * most >= percent * (F.col("size") + F.col("centre_size") - most)))
         pairs = asked.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         for t in tested:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
@@ -246,17 +267,15 @@ def link(nodes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) ->
         common = F.size(F.array_intersect("items_a", "items_b"))
         whole = F.size("items_a") + F.size("items_b") - common
         found = scratch.write(two.where(100 * common >= percent * whole).select("a", "b"), f"links-{turn}")
-        rest = open_.join(star.select("band", "key", F.col("centre").alias("node")), ["band", "key", "node"], "left_anti").select("band", "key", "node", "size", "meets", "root")
+        rest = open_.join(star.select("band", "key", F.col("centre").alias("node")), ["band", "key", "node"], "left_anti").select(*OPEN)
         if found.limit(1).count():
             links.append(found)
             every = links[0]
             for x in links[1:]:
                 every = every.unionByName(x)
             roots = connected_components(every, scratch, f"roots-{turn}")
-            rest = rest.drop("root").join(roots, "node", "left").select("band", "key", "node", "size", "meets", F.coalesce("root", "node").alias("root"))
-        # A bucket whose members are all of one component, or that has one member left, is done.
-        mixed = rest.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-        open_ = rest.join(mixed, ["band", "key"], "left_semi")
+            rest = rest.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(*OPEN)
+        open_ = unsettled(rest)
         turn += 1
     return nodes.sparkSession.createDataFrame([], "node bigint, root bigint") if roots is None else roots
 
