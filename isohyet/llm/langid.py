@@ -23,12 +23,12 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import slices
 from .bpe import Remembered, as_texts
+from .near_dedup import mix
 from .toxicity import remainder, word_of
 
 DIMENSIONS = 4096
@@ -52,23 +52,32 @@ def family_of(lang: str) -> str:
     return FAMILY.get(lang.lower().split("-")[0].split("_")[0], f"of {lang}")
 
 
-def sequences(word: str) -> list[int]:
-    """Hashed sequences of 1 to 3 letters of a word with its borders."""
-    w = f"^{word}$"
-    return [xxhash.xxh32_intdigest(w[i : i + n], seed=n) % DIMENSIONS for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+def sequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed sequences of 1 to 3 letters of all words with their borders, word after word for each length; where each
+    word's begin in each of the three parts (rows of the second result); and how many each word has.  No word is empty."""
+    text = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    last = np.cumsum(length)  # behind each word
+    parts, starts, base = [], [], 0
+    for n in (1, 2, 3):
+        code = text[: len(text) - n + 1].copy()
+        for k in range(1, n):
+            code |= text[k : len(text) - n + 1 + k] << np.uint64(21 * k)
+        crossing = np.zeros(len(code), bool)
+        for k in range(1, n):
+            crossing[last[:-1] - k] = True  # would run into the next word
+        parts.append((mix(code + np.uint64(n << 58)) % np.uint64(DIMENSIONS)).astype(np.int64)[~crossing])
+        starts.append(base + np.cumsum(length - n + 1) - (length - n + 1))
+        base += len(parts[-1])
+    return np.concatenate(parts), np.array(starts), 3 * length - 3
 
 
 def shares(texts: list[bytes]) -> np.ndarray:
     """One row a text: the share of each hashed sequence, times 100."""
     out = np.zeros((len(texts), DIMENSIONS), np.float32)
-    known: dict[bytes, list[int]] = {}
     for i, t in enumerate(texts):
-        found: list[int] = []
-        for c in t.lower().split():
-            if c not in known:
-                known[c] = sequences(word_of(c)) if word_of(c) else []
-            found += known[c]
-        if found:
+        if words := [w for c in t.lower().split() if (w := word_of(c))]:
+            found = sequences(words)[0]
             out[i] = np.bincount(found, minlength=DIMENSIONS) * (100.0 / len(found))
     return out
 
@@ -153,10 +162,18 @@ class Words:
     def margins(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         cut = [t.lower().split() for t in texts]
         w = self.model.weights
-        for c in self.at.missing(cut):
-            word = word_of(c)
-            found = sequences(word) if word else []
-            self.at[c] = np.array([*(w[found].sum(0) if found else np.zeros(w.shape[1])), len(found), any(map(str.isalpha, word))]).tobytes()
+        if new := self.at.missing(cut):
+            words = [word_of(c) for c in new]
+            some = np.flatnonzero(np.fromiter(map(bool, words), bool, len(words)))
+            vector = np.zeros((len(new), w.shape[1] + 2))
+            if len(some):
+                words = [words[i] for i in some]
+                found, starts, n = sequences(words)
+                vector[some, :-2] = np.add.reduceat(w[found], starts.ravel(), axis=0).reshape(3, len(some), -1).sum(axis=0)
+                vector[some, -2] = n
+                vector[some, -1] = [x.isalpha() or any(map(str.isalpha, x)) for x in words]
+            raw, step = vector.tobytes(), vector.itemsize * vector.shape[1]
+            self.at.update({c: raw[i * step : (i + 1) * step] for i, c in enumerate(new)})
         total = np.zeros((len(texts), w.shape[1] + 2))
         for i, x in enumerate(cut):
             if x:

@@ -54,6 +54,8 @@ def remainder(doc_id: Column, n: int) -> Column:
 def word_of(chunk: bytes) -> str:
     """A chunk in lower case without what isn't a letter or digit at its ends."""
     w = chunk.decode("utf-8", "replace").lower()
+    if w.isalnum():
+        return w
     i, j = 0, len(w)
     while i < j and not w[i].isalnum():
         i += 1
