@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar
 from ..operators import conditioning as c
+from ..operators import grids as g
 from ..operators import season as s
+from ..operators import sequences as q
+from ..operators import simulate
+from ..operators import verification as v
 from ..sources import panel as p
 
 MONTHS, YEARS, N_DAYS = (7, 8, 9), (1995, 2001), 92
@@ -394,3 +398,144 @@ def _(spark, d):
 @query("w_site_distances", "WITH a AS (SELECT DISTINCT s_nationkey AS k, s_nationkey // 5 AS y, s_nationkey % 5 AS x FROM supplier) SELECT p.k AS a, q.k AS b, round(2 * 6371.0088::DOUBLE * asin(sqrt(power(sin(radians(q.y - p.y) / 2), 2) + cos(radians(p.y)) * cos(radians(q.y)) * power(sin(radians(q.x - p.x) / 2), 2))), 6) AS km FROM a p JOIN a q ON p.k < q.k")
 def _(spark, d):
     return c.site_distances(p.table(spark, d, "supplier").select(F.col("s_nationkey").alias("site_id"), F.expr("s_nationkey div 5").alias("y"), (F.col("s_nationkey") % 5).alias("x")).distinct())
+
+
+# --- states, runs and sums along a season ----------------------------------------------------------------------
+
+STATES = ", ext AS (SELECT site_id, month, quantile_cont(p, 0.8::DOUBLE) AS extreme FROM cube WHERE p >= 1 GROUP BY ALL), st AS (SELECT site_id, season_year, day, month, CASE WHEN p < 1 THEN 0 WHEN p > extreme THEN 2 WHEN extreme IS NOT NULL THEN 1 END AS state FROM cube LEFT JOIN ext USING (site_id, month))"
+
+
+@query("w_rain_states", sql(STATES + " SELECT site_id, season_year::INT AS season_year, day::INT AS day, month::INT AS month, state::INT AS state FROM st"))
+def _(spark, d):
+    return q.states(cube(spark, d))
+
+
+@query("w_state_durations", sql(STATES + ", i AS (SELECT *, day - row_number() OVER (PARTITION BY site_id, season_year, state ORDER BY day) AS run FROM st) SELECT site_id, season_year::INT AS season_year, state::INT AS state, min(day)::INT AS start, count(*) AS length FROM i GROUP BY site_id, season_year, state, run"))
+def _(spark, d):
+    return q.state_durations(q.states(cube(spark, d)))
+
+
+@query("w_state_transitions", sql(STATES + ", l AS (SELECT *, lag(state) OVER w AS before, lag(month) OVER w AS mb FROM st WINDOW w AS (PARTITION BY site_id, season_year ORDER BY day)), k AS (SELECT site_id, month, before, state AS after, count(*) AS n FROM l WHERE mb = month GROUP BY ALL) SELECT site_id, month::INT AS month, before::INT AS before, after::INT AS after, n, round(n / sum(n) OVER (PARTITION BY site_id, month, before), 6) AS share FROM k"))
+def _(spark, d):
+    return q.state_transitions(q.states(cube(spark, d)))
+
+
+@query("w_dry_run_ending", sql(", r AS (SELECT *, count(*) FILTER (WHERE p >= 1) OVER (PARTITION BY site_id, season_year ORDER BY day) AS g FROM cube) SELECT site_id, season_year::INT AS season_year, day::INT AS day, count(*) FILTER (WHERE p < 1) OVER (PARTITION BY site_id, season_year, g ORDER BY day) * (p < 1)::INT AS length FROM r"))
+def _(spark, d):
+    return q.dry_run_ending(cube(spark, d))
+
+
+@query("w_accumulation", sql("SELECT site_id, season_year::INT AS season_year, day::INT AS day, CASE WHEN count(p) OVER w = 5 THEN round(sum(p) OVER w, 6) END AS total FROM cube WINDOW w AS (PARTITION BY site_id, season_year ORDER BY day ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)"))
+def _(spark, d):
+    return q.accumulation(cube(spark, d), 5)
+
+
+@query("w_running_mean", sql(", a AS (SELECT site_id, season_year, day, unnest(range(-3, 4)) AS k FROM cube) SELECT a.site_id, a.season_year::INT AS season_year, a.day::INT AS day, round(avg(p), 6) AS mean FROM a JOIN cube c ON c.site_id = a.site_id AND c.season_year = a.season_year AND c.day = least(91, greatest(0, a.day + k)) GROUP BY ALL"))
+def _(spark, d):
+    return q.running_mean(cube(spark, d), 7)
+
+
+@query("w_pooled_days", sql(", a AS (SELECT site_id, season_year, day, unnest(range(-2, 3)) AS shift FROM cube) SELECT a.site_id, a.season_year::INT AS season_year, a.day::INT AS day, shift::INT AS shift, round(p, 6) AS value FROM a JOIN cube c ON c.site_id = a.site_id AND c.season_year = a.season_year AND c.day = least(91, greatest(0, a.day + shift))"))
+def _(spark, d):
+    return q.pooled_days(cube(spark, d), 2)
+
+
+@query("w_lagged", sql("SELECT c.site_id, c.season_year::INT AS season_year, c.day::INT AS day, round(c.p, 6) AS value, round(o.p, 6) AS before FROM cube c LEFT JOIN obs o ON o.site_id = c.site_id AND o.t = c.t - 1"))
+def _(spark, d):
+    return q.lagged(rain(spark, d), cube(spark, d))
+
+
+@query("w_state_before", sql(", b AS (SELECT c.site_id, c.season_year, back, o.p >= 1 AS w FROM cube c, unnest(range(1, 31)) AS r(back) JOIN obs o ON o.site_id = c.site_id AND o.t = c.t - back::INT WHERE c.day = 0), f AS (SELECT site_id, season_year, w AS wet FROM b WHERE back = 1) SELECT site_id, season_year::INT AS season_year, wet, coalesce(min(back) FILTER (WHERE w <> wet) - 1, 30) AS length FROM b JOIN f USING (site_id, season_year) GROUP BY site_id, season_year, wet"))
+def _(spark, d):
+    return q.state_before(rain(spark, d), cube(spark, d), 30)
+
+
+# --- grids -----------------------------------------------------------------------------------------------------
+
+
+def cells(spark, sf_dir):
+    """(season_year, iy, ix, y, x, total): seasonal totals on the grid of five columns."""
+    at = F.col("site_id")
+    return totals(spark, sf_dir).select("season_year", F.expr("site_id div 5").alias("iy"), (at % 5).alias("ix"), F.expr("site_id div 5").alias("y"), (at % 5).alias("x"), "total")
+
+
+@query("w_block_mean", sql("SELECT season_year::INT AS season_year, (site_id // 5) // 2 AS iy, (site_id % 5) // 2 AS ix, round(avg(total), 6) AS mean FROM totals GROUP BY ALL"))
+def _(spark, d):
+    return g.block_mean(cells(spark, d), 2, ["season_year"], "total")
+
+
+@query("w_bilinear", sql(", v AS (SELECT site_id // 5 AS y, site_id % 5 AS x, total FROM totals WHERE season_year = 1996), a AS (SELECT i / 2.0::DOUBLE AS y, j / 2.0::DOUBLE AS x FROM unnest(range(9)) AS r(i), unnest(range(10)) AS s(j)), k AS (SELECT a.y, a.x, sum((1 - abs(a.y - v.y)) * (1 - abs(a.x - v.x)) * total) AS total, sum((1 - abs(a.y - v.y)) * (1 - abs(a.x - v.x))) AS w FROM a JOIN v ON abs(a.y - v.y) < 1 AND abs(a.x - v.x) < 1 GROUP BY ALL) SELECT a.y, a.x, CASE WHEN w > 1 - 1e-9 THEN round(total, 6) END AS total FROM a LEFT JOIN k USING (y, x)"))
+def _(spark, d):
+    half = lambda n, name: spark.range(n).select((F.col("id") / 2.0).alias(name))
+    return g.bilinear(cells(spark, d).where("season_year = 1996"), half(9, "y").crossJoin(F.broadcast(half(10, "x"))), "total")
+
+
+@query("w_latitude_weights", "WITH a AS (SELECT DISTINCT s_nationkey // 5 AS y FROM supplier), b AS (SELECT y::DOUBLE AS y, sin(radians(y + 0.5)) - sin(radians(y - 0.5)) AS area FROM a) SELECT y, round(area / sum(area) OVER (), 6) AS weight FROM b")
+def _(spark, d):
+    return g.latitude_weights(p.table(spark, d, "supplier").select(F.expr("s_nationkey div 5").alias("y")))
+
+
+# --- ensembles against training totals -------------------------------------------------------------------------
+
+FOLDS = ", tr AS (SELECT site_id, total FROM members WHERE season_year BETWEEN 1992 AND 1996), ta AS (SELECT * FROM members WHERE season_year > 1996), lim AS (SELECT site_id, quantile_cont(total, 1.0::DOUBLE / 3) AS lo, quantile_cont(total, 2.0::DOUBLE / 3) AS hi FROM tr GROUP BY site_id)"
+
+
+def folds(spark, sf_dir):
+    m = members_all(spark, sf_dir)
+    return m.where("season_year > 1996"), m.where("season_year BETWEEN 1992 AND 1996")
+
+
+def members_all(spark, sf_dir):
+    """(site_id, season_year, member, total) of all years, the season July to September."""
+    rows = p.supplied_days(spark, sf_dir).where(F.month("t").isin(*MONTHS))
+    return rows.groupBy("site_id", F.year("t").alias("season_year"), F.col("l_linenumber").alias("member")).agg(F.sum("l_quantity").alias("total"))
+
+
+@query("w_model_tercile_probabilities", sql(FOLDS + " SELECT site_id, season_year::INT AS season_year, round(avg((total <= lo)::INT), 6) AS pb, round(avg((total > lo AND total <= hi)::INT), 6) AS pn, round(avg((total > hi)::INT), 6) AS pa FROM ta JOIN lim USING (site_id) GROUP BY ALL"))
+def _(spark, d):
+    target, train = folds(spark, d)
+    return v.model_tercile_probabilities(target, train, ["site_id", "season_year"])
+
+
+@query("w_ensemble_positions", sql(FOLDS + " SELECT site_id, season_year::INT AS season_year, member, round(((SELECT count(*) FILTER (WHERE tr.total < ta.total) + 0.5::DOUBLE * count(*) FILTER (WHERE tr.total = ta.total) + 1 FROM tr WHERE tr.site_id = ta.site_id)) / ((SELECT count(*) FROM tr WHERE tr.site_id = ta.site_id) + 2), 6) AS position FROM ta"))
+def _(spark, d):
+    target, train = folds(spark, d)
+    return v.ensemble_positions(target, train).select("site_id", "season_year", "member", "position")
+
+
+RPS = FOLDS + ", cl AS (SELECT site_id, season_year, avg((total <= lo)::INT) AS f0, avg((total <= hi)::INT) AS f1, count(*) AS n FROM ta JOIN lim USING (site_id) GROUP BY ALL), z AS (SELECT cl.*, c.cat FROM cl JOIN classes c USING (site_id, season_year)), s AS (SELECT *, power(f0 - (cat <= 0)::INT, 2) + power(f1 - (cat <= 1)::INT, 2) AS r FROM z)"
+
+
+def classed_members(spark, sf_dir):
+    target, train = folds(spark, sf_dir)
+    limits = train.groupBy("site_id").agg(F.percentile("total", 1 / 3).alias("q33"), F.percentile("total", 2 / 3).alias("q67"))
+    cat = c.classify(F.col("total"), F.col("q33"), F.col("q67"))
+    seen = classes(spark, sf_dir).select("site_id", "season_year", F.col("cat").alias("seen"))
+    return target.join(limits, "site_id").select("site_id", "season_year", cat.alias("cat")).join(seen, ["site_id", "season_year"])
+
+
+@query("w_rps_ensemble", sql(RPS + " SELECT site_id, season_year::INT AS season_year, round(r, 6) AS rps FROM s"))
+def _(spark, d):
+    return v.rps_ensemble(classed_members(spark, d), ["site_id", "season_year"])
+
+
+@query("w_rps_fair", sql(RPS + " SELECT site_id, season_year::INT AS season_year, CASE WHEN n > 1 THEN round(r - (f0 * (1 - f0) + f1 * (1 - f1)) / nullif(n - 1, 0), 6) END AS rps FROM s"))
+def _(spark, d):
+    return v.rps_ensemble(classed_members(spark, d), ["site_id", "season_year"], fair=True)
+
+
+# --- the rain simulator ----------------------------------------------------------------------------------------
+
+SIMULATED = """, l AS (SELECT *, lag(p) OVER w AS b, lag(month) OVER w AS mb FROM cube WINDOW w AS (PARTITION BY site_id, season_year ORDER BY day)),
+fit AS (SELECT site_id, month, count(*) FILTER (WHERE mb = month AND b < 1 AND p >= 1) / nullif(count(*) FILTER (WHERE mb = month AND b < 1), 0)::DOUBLE AS p01, count(*) FILTER (WHERE mb = month AND b >= 1 AND p >= 1) / nullif(count(*) FILTER (WHERE mb = month AND b >= 1), 0)::DOUBLE AS p11, count(*) FILTER (WHERE p >= 1) / count(*)::DOUBLE AS pi, coalesce(avg(p) FILTER (WHERE p >= 1), 1) AS mean FROM l GROUP BY ALL),
+par AS (SELECT site_id, month, coalesce(p01, pi) AS p01, coalesce(p11, pi) AS p11, pi, mean FROM fit),
+cal AS (SELECT i AS day, month(make_date(1995, 7, 1) + i::INT) AS month FROM unnest(range(92)) AS r(i)),
+draws AS (SELECT s, day, member, site_id, (('0x' || substr(md5('7|' || s || '|' || day || '|' || member || '|' || site_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u FROM unnest([0, 1]) AS q(s), (SELECT day FROM cal UNION ALL SELECT -3) AS d(day), unnest(range(5)) AS m(member), (SELECT DISTINCT site_id FROM cube)),
+chain AS (SELECT site_id, member, -1::BIGINT AS day, u < pi AS wet FROM draws JOIN par USING (site_id) WHERE s = 0 AND day = -3 AND month = 7
+  UNION ALL SELECT k.site_id, k.member, k.day + 1, d.u < CASE WHEN k.wet THEN p11 ELSE p01 END FROM chain k JOIN cal ON cal.day = k.day + 1 JOIN par ON par.site_id = k.site_id AND par.month = cal.month JOIN draws d ON d.s = 0 AND d.day = cal.day AND d.member = k.member AND d.site_id = k.site_id)
+SELECT k.site_id, k.member::INT AS member, k.day::INT AS day, CASE WHEN wet THEN round(1 - (mean - 1) * ln(1 - u), 6) ELSE 0 END AS PRCP FROM chain k JOIN cal USING (day) JOIN par USING (site_id, month) JOIN draws d ON d.s = 1 AND d.day = k.day AND d.member = k.member AND d.site_id = k.site_id WHERE k.day >= 0"""
+
+
+@query("w_simulated_rain", sql(SIMULATED).replace("WITH", "WITH RECURSIVE", 1))
+def _(spark, d):
+    return simulate.simulate_rain(c.markov_fit(cube(spark, d)), [7] * 31 + [8] * 31 + [9] * 30, 5, 7)

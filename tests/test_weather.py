@@ -14,7 +14,7 @@ from isohyet.plans.queries import QUERIES, SQL
 from isohyet.sources import panel
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["w_totals", "w_year_weights", "w_weather_statistics", "w_onset", "w_draw_years", "w_crps_fair", "w_hazen_limits", "w_calendar_djf"]
+CHECKED = ["w_totals", "w_year_weights", "w_weather_statistics", "w_onset", "w_draw_years", "w_crps_fair", "w_hazen_limits", "w_calendar_djf", "w_state_durations", "w_state_before", "w_bilinear", "w_rps_fair", "w_ensemble_positions", "w_simulated_rain"]
 
 
 def plain(v):
