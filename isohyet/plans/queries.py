@@ -539,3 +539,54 @@ SELECT k.site_id, k.member::INT AS member, k.day::INT AS day, CASE WHEN wet THEN
 @query("w_simulated_rain", sql(SIMULATED).replace("WITH", "WITH RECURSIVE", 1))
 def _(spark, d):
     return simulate.simulate_rain(c.markov_fit(cube(spark, d)), [7] * 31 + [8] * 31 + [9] * 30, 5, 7)
+
+
+# --- functions and checks by themselves --------------------------------------------------------------------------
+
+
+@query("w_fixed_classes", sql("SELECT site_id, season_year::INT AS season_year, CASE WHEN total <= 800 THEN 0 WHEN total <= 1200 THEN 1 ELSE 2 END AS cat FROM totals"))
+def _(spark, d):
+    return totals(spark, d).select("site_id", "season_year", c.classify(F.col("total"), F.lit(800.0), F.lit(1200.0)).alias("cat"))
+
+
+@query("w_latent", "WITH a AS (SELECT l_orderkey, l_linenumber, least(0.9999::DOUBLE, greatest(0.0001::DOUBLE, l_quantity * 2 / 100)) AS h, l_quantity AS w FROM lineitem) SELECT l_orderkey, l_linenumber, round(ln(h / (1 - h)), 6) AS humidity, round(ln(1 + w), 6) AS wind, round(100 * h, 6) AS humidity_back, round(w, 6) AS wind_back FROM a")
+def _(spark, d):
+    x = F.col("l_quantity")
+    humidity, wind = scalar.to_latent("HUMAX", x * 2.0), scalar.to_latent("WIND", x)
+    return p.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", humidity.alias("humidity"), wind.alias("wind"), scalar.from_latent("HUMAX", humidity).alias("humidity_back"), scalar.from_latent("WIND", wind).alias("wind_back"))
+
+
+@query("w_kernel_correlation", "WITH a AS (SELECT n_nationkey AS k, n_nationkey * 50.0::DOUBLE AS km FROM nation) SELECT k, round(exp(-km / 300), 6) AS exponential, round(power(1 + km / 300, -1.5::DOUBLE), 6) AS heavy FROM a")
+def _(spark, d):
+    km = F.col("n_nationkey") * 50.0
+    return p.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), c.kernel_correlation(km, "exponential", 300.0).alias("exponential"), c.kernel_correlation(km, "heavy", 300.0, 1.5).alias("heavy"))
+
+
+@query("w_brier_fair", sql(FOLDS + ", f AS (SELECT site_id, season_year, avg((total > hi)::INT) AS f, count(*) AS n FROM ta JOIN lim USING (site_id) GROUP BY ALL) SELECT site_id, season_year::INT AS season_year, round(power(f - (cat = 2)::INT, 2), 6) AS brier, CASE WHEN n > 1 THEN round(power(f - (cat = 2)::INT, 2) - f * (1 - f) / nullif(n - 1, 0), 6) END AS fair FROM f JOIN classes USING (site_id, season_year)"))
+def _(spark, d):
+    shares = classed_members(spark, d).groupBy("site_id", "season_year").agg(F.avg((F.col("cat") == 2).cast("double")).alias("f"), F.max((F.col("seen") == 2).cast("double")).alias("o"), F.count(F.lit(1)).alias("n"))
+    return shares.select("site_id", "season_year", scalar.brier(F.col("f"), F.col("o")).alias("brier"), v.brier_ensemble(F.col("f"), F.col("o"), F.col("n")).alias("fair"))
+
+
+@query("w_box", sql("SELECT site_id, t, round(p, 6) AS PRCP FROM obs WHERE site_id // 5 BETWEEN 1 AND 3 AND site_id % 5 BETWEEN 2 AND 4"))
+def _(spark, d):
+    return p.observations(spark, d).where("y BETWEEN 1 AND 3 AND x BETWEEN 2 AND 4").select("site_id", "t", "PRCP")
+
+
+@query("w_run_histogram", sql("SELECT site_id, month(make_date(season_year, 7, 1) + start::INT)::INT AS month, length, count(*) AS n FROM runs GROUP BY ALL"))
+def _(spark, d):
+    firsts = cube(spark, d).select("site_id", "season_year", F.col("day").alias("start"), "month")
+    return s.dry_runs(cube(spark, d)).join(firsts, ["site_id", "season_year", "start"]).groupBy("site_id", "month", "length").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("w_exact_align", sql("SELECT t, site_id, round(p, 6) AS PRCP, round(tx, 6) AS TMAX FROM obs"))
+def _(spark, d):
+    both = p.observations(spark, d)
+    return p.exact_align(both.select("t", "site_id", "PRCP"), both.select("t", "site_id", "TMAX"), ["t", "site_id"])
+
+
+@query("w_harmonics", sql("SELECT t, round(sin(2 * pi() * 2 * dayofyear(t) / 365.25::DOUBLE), 6) AS s, round(cos(2 * pi() * 2 * dayofyear(t) / 365.25::DOUBLE), 6) AS c FROM days"))
+def _(spark, d):
+    dates = p.observations(spark, d).select("t").distinct()
+    sine, cosine = scalar.harmonics(F.col("t"), 2)
+    return dates.select("t", sine.alias("s"), cosine.alias("c"))
