@@ -9,8 +9,10 @@ words and of its words on average.  A logistic curve, fitted on labelled rows
 that the counts have not seen, turns evidence into a score.
 
 Counts run over all labelled rows that may be learned from, but for those kept
-for the curve.  The model that goes to the executors has at most MAX_GRAMS
-letter sequences, the most frequent; the curve is fitted on about MAX_FIT rows.
+for the curve, and every letter sequence they show is kept.  A model of up to
+MAX_GRAMS sequences goes to the executors whole; a larger one stays a
+distributed table, and words are scored by joining their sequences with it.
+The curve is fitted on about MAX_FIT rows.
 
 Cases: a null or empty text has no evidence and gets the curve's score for
 none; very long texts are scored whole; repeated rows get equal scores; without
@@ -35,6 +37,7 @@ from .bpe import Remembered, as_texts
 
 ORDER = 5
 DISCOUNT = 0.75
+#: A model of more letter sequences is never collected or broadcast, but joined.
 MAX_GRAMS = 400_000
 MAX_FIT = 20_000
 #: Words whose evidence a worker remembers, in each of two generations.
@@ -158,6 +161,86 @@ def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
+def _head(gram: str) -> Column:
+    return F.expr(f"substring({gram}, 1, length({gram}) - 1)")
+
+
+def _tail(gram: str) -> Column:
+    return F.expr(f"substring({gram}, 2)")
+
+
+class Tables:
+    """What Model holds, as distributed tables: (gram, value) and (head, value)."""
+
+    def __init__(self, counted: DataFrame, scratch: Scratch, name: str):
+        contexts = counted.groupBy(_head("gram").alias("head")).agg(*(f(k) for k in ("toxic", "ordinary") for f in (lambda k: F.sum(k).alias(f"{k}_total"), lambda k: F.count_if(F.col(k) > 0).alias(f"{k}_types"))))
+        gives = lambda k: F.when(F.col(f"{k}_total") > 0, DISCOUNT * F.col(f"{k}_types") / F.col(f"{k}_total")).otherwise(1.0)
+        contexts = scratch.write(contexts.select("head", "toxic_total", "ordinary_total", gives("toxic").alias("toxic_gives"), gives("ordinary").alias("ordinary_gives")), f"{name}-contexts")
+        own = lambda k: F.when(F.col(k) > 0, F.greatest(F.col(k) - DISCOUNT, F.lit(0.0)) / F.col(f"{k}_total")).otherwise(0.0)
+        p = lambda k: own(k) + F.col(f"{k}_gives") * F.col("p")
+        rows = counted.select("*", _head("gram").alias("head"), _tail("gram").alias("tail")).join(contexts, "head")
+        rows = rows.join(self._shared(counted, scratch, name).withColumnRenamed("gram", "tail"), "tail")
+        self.grams = scratch.write(rows.select("gram", F.log(p("toxic") / p("ordinary")).alias("value")), f"{name}-values")
+        self.contexts = contexts.select("head", F.log(F.col("toxic_gives") / F.col("ordinary_gives")).alias("value"))
+
+    @staticmethod
+    def _shared(counted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """(gram, p) of the sequences one letter shorter, as Model._shared has them."""
+        orders, seen = [], counted
+        for k in range(ORDER - 1):
+            seen = scratch.write(seen.groupBy(_tail("gram").alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"{name}-order-{k}")
+            orders.append(seen)
+        known, letters = None, max(2, seen.count())
+        for order in reversed(orders):
+            heads = order.groupBy(_head("gram").alias("head")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
+            rows = order.select("gram", "n", _head("gram").alias("head"), _tail("gram").alias("tail")).join(heads, "head")
+            rows = rows.withColumn("back", F.lit(1.0 / letters)) if known is None else rows.join(known.select(F.col("gram").alias("tail"), F.col("p").alias("back")), "tail")
+            known = rows.select("gram", (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total") + DISCOUNT * F.col("kinds") / F.col("total") * F.col("back")).alias("p"))
+        return known
+
+    def words(self, words: DataFrame) -> DataFrame:
+        """(word, total, n) of distinct words: sum over the word's letters and its end, and how many those are."""
+        cut = words.mapInArrow(_word_grams, "word string, gram string, times int")
+        # Values are looked up once per distinct sequence: all words share the context of the first letter.
+        asked = cut.select("gram").distinct().withColumn("head", _head("gram"))
+        found = asked.join(self.grams, "gram", "left").join(self.contexts.select("head", F.col("value").alias("other")), "head", "left")
+        values = found.select("gram", F.coalesce("value", "other", F.lit(0.0)).alias("value"))
+        return cut.join(values, "gram").groupBy("word").agg(F.sum(F.col("value") * F.col("times")).alias("total"), F.sum("times").alias("n"))
+
+    def features(self, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """(digest, f0, f1, ...) of (digest, text), as features() has them; texts without words have no row."""
+        cut = texts.mapInArrow(_text_words, "digest binary, word string, times int").dropDuplicates(["digest", "word"])
+        cut = scratch.write(cut, f"{name}-words")
+        known = self.words(cut.select("word").distinct())
+        value = F.col("total") / (F.col("n") + EXTRA)
+        rows = cut.join(known, "word").withColumn("best", F.array_repeat(value, F.least("times", F.lit(3))))
+        best = F.slice(F.sort_array(F.flatten(F.collect_list("best")), False), 1, 3)
+        clear = F.sum(F.col("times") * F.greatest(F.col("total") - CLEAR, F.lit(0.0)))
+        rows = rows.groupBy("digest").agg(best.alias("best"), (F.sum(F.col("times") * F.col("total")) / F.sum(F.col("times") * F.col("n"))).alias("f2"), F.log1p(clear).alias("f3"))
+        return rows.select("digest", F.col("best")[0].alias("f0"), (F.aggregate("best", F.lit(0.0), lambda a, x: a + x) / 3).alias("f1"), "f2", "f3")
+
+
+def digest_of(text: Column) -> Column:
+    """128 bits of SHA-256 of a text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text.cast("binary"), F.lit("").cast("binary")), 256), 1, 32))
+
+
+def _word_grams(batches):
+    for batch in batches:
+        for i, j in slices(batch.num_rows, 10_000):
+            rows = [(w, g, n) for w in batch.column(0).slice(i, j - i).to_pylist() for g, n in Counter(grams(w)).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], ["word", "gram", "times"])
+
+
+def _text_words(batches):
+    for batch in batches:
+        for digest, text in zip(batch.column(0).to_pylist(), as_texts(batch.column(1)), strict=True):
+            words = Counter(map(word_of, text.lower().split()))
+            for i, j in slices(len(words), 100_000):
+                part = list(words.items())[i:j]
+                yield pa.RecordBatch.from_arrays([pa.array([digest] * len(part), pa.binary()), pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int32())], ["digest", "word", "times"])
+
+
 _memory: dict[str, Remembered] = {}
 
 
@@ -188,7 +271,28 @@ def _count_grams(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([n[0] for n in counts.values()], pa.int64()), pa.array([n[1] for n in counts.values()], pa.int64())], ["gram", "toxic", "ordinary"])
 
 
-def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model | None, np.ndarray, float]:
+def _model(counted: DataFrame, scratch: Scratch, name: str) -> Model | Tables:
+    if counted.count() > MAX_GRAMS:
+        return Tables(counted, scratch, name)
+    return Model([(r[0], r[1], r[2]) for r in counted.toPandas().itertuples(index=False)])
+
+
+def _curve(got) -> np.ndarray:
+    """The curve's weights from measured rows (toxic, f0, f1, ...)."""
+    if got["toxic"].nunique() < 2:
+        return np.array([1.0, *[0.0] * (N_FEATURES - 1), -2.0])
+    return fit_curve(got[[f"f{k}" for k in range(N_FEATURES)]].to_numpy(), got["toxic"].to_numpy(float))
+
+
+def _score_joined(docs: DataFrame, tables: Tables, weights: np.ndarray, scratch: Scratch, text_col: str) -> DataFrame:
+    """(row, score): each row of ``docs`` as a struct, and its score, by joins alone."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), digest_of(F.col(text_col)).alias("digest"))
+    found = tables.features(docs.select(digest_of(F.col(text_col)).alias("digest"), F.col(text_col).alias("text")), scratch, "docs")
+    z = sum((F.coalesce(F.col(f"f{k}"), F.lit(0.0)) * float(weights[k]) for k in range(N_FEATURES)), F.lit(float(weights[-1])))
+    return rows.join(found, "digest", "left").select("row", (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).alias("score"))
+
+
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model | Tables | None, np.ndarray, float]:
     """The model, the curve's weights and the share of toxic labels, from rows outside the held-out remainder."""
     spark = docs.sparkSession
     usable = labels.select(F.col(id_col).alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IS NOT NULL")
@@ -205,10 +309,15 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, folds: int =
     in_fit = remainder(F.col("id"), folds) == fit_fold
     words = of(usable.where(~in_fit)).mapInArrow(_count_words, "word string, toxic bigint, ordinary bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     counted = words.mapInArrow(_count_grams, "gram string, toxic bigint, ordinary bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    kept = counted.orderBy((F.col("toxic") + F.col("ordinary")).desc(), "gram").limit(MAX_GRAMS)
-    model = Model([(r[0], r[1], r[2]) for r in kept.toPandas().itertuples(index=False)])
+    counted = scratch.write(counted, "grams")
+    model = _model(counted, scratch, "model")
     keep = min(1.0, MAX_FIT / max(1, total / (folds - 1)))
     sample = of(usable.where(in_fit & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(keep * (1 << 20)))))
+    names = [f"f{k}" for k in range(N_FEATURES)]
+    if isinstance(model, Tables):
+        rows = sample.select("toxic", "text", digest_of(F.col("text")).alias("digest"))
+        found = model.features(rows.select("digest", "text"), scratch, "sample")
+        return model, _curve(rows.select("digest", "toxic").join(found, "digest", "left").select("toxic", *names).fillna(0.0).toPandas()), share
     shared = spark.sparkContext.broadcast(model)  # at most MAX_GRAMS sequences
     key = scratch.base
 
@@ -218,12 +327,10 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, folds: int =
             for i, j in slices(batch.num_rows, 256):
                 part = batch.slice(i, j - i)
                 f = features(shared.value, memory, as_texts(part.column(0)))
-                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(f[:, k]) for k in range(N_FEATURES))], ["toxic", *(f"f{k}" for k in range(N_FEATURES))])
+                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(f[:, k]) for k in range(N_FEATURES))], ["toxic", *names])
 
-    got = sample.mapInArrow(measure, "toxic int, " + ", ".join(f"f{k} double" for k in range(N_FEATURES))).toPandas()
-    if got["toxic"].nunique() < 2:
-        return model, np.array([1.0, *[0.0] * (N_FEATURES - 1), -2.0]), share
-    return model, fit_curve(got[[f"f{k}" for k in range(N_FEATURES)]].to_numpy(), got["toxic"].to_numpy(float)), share
+    got = sample.mapInArrow(measure, "toxic int, " + ", ".join(f"{k} double" for k in names)).toPandas()
+    return model, _curve(got), share
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -233,6 +340,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fold
     """
     scratch = Scratch(docs.sparkSession, "toxicity")
     model, weights, share = train(docs, labels, scratch, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col)
+    flags = lambda: ((remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    if isinstance(model, Tables):
+        scored = _score_joined(docs, model, weights, scratch, text_col)
+        if keep:
+            return scored.where(F.col("score") < threshold).select("row.*")
+        return scored.select(F.col(f"row.{id_col}").alias("doc_id"), "score").select("doc_id", *flags())
     shared = docs.sparkSession.sparkContext.broadcast(model)
     key = scratch.base
     names = docs.columns if keep else ["doc_id"]
@@ -259,4 +372,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fold
     if keep:
         return docs.mapInArrow(score, docs.schema)
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(score, schema)
-    return out.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", *flags())

@@ -274,6 +274,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_keeps_every_sequence(spark, monkeypatch):
+    data = labelled()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(9000, None), (9001, "! ?"), (9002, data[0][1])], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data], "doc_id bigint, toxic int")
+    want = {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MAX_GRAMS", 20)
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.toxicity(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i][0] - want[i][0]) < 1e-6 and got[i][1] == want[i][1] for i in want)
+    kept = toxicity.toxicity(docs, labels, keep=True)
+    assert kept.columns == docs.columns and kept.count() == sum(not p for _, p in want.values())
+
+
 def test_kneser_ney_sums_to_one():
     model = toxicity.Model
     counts = [(g, 2, 3) for w in ("abc", "abd", "bca") for g in toxicity.grams(w)]
