@@ -6,13 +6,13 @@ An expression that neither class has shown differs by nothing but the mass its
 context gives away.  A word's evidence is the difference of its two
 log-likelihoods over its length; a text's evidence is that of its strongest
 words and of its words on average.  A logistic curve, fitted on labelled rows
-that the counts have not seen, turns evidence into a score.
+that the counts behind it have not seen, turns evidence into a score.
 
-Counts run over all labelled rows that may be learned from, but for those kept
-for the curve, and every letter sequence they show is kept.  A model of up to
+The curve is fitted on about MAX_FIT rows of one remainder, measured by a model
+of the others.  The model that scores then counts all labelled rows that may be
+learned from, and every letter sequence they show is kept.  A model of up to
 MAX_GRAMS sequences goes to the executors whole; a larger one stays a
 distributed table, and words are scored by joining their sequences with it.
-The curve is fitted on about MAX_FIT rows.
 
 Cases: a null or empty text has no evidence and gets the curve's score for
 none; very long texts are scored whole; repeated rows get equal scores; without
@@ -244,6 +244,13 @@ def _text_words(batches):
 _memory: dict[str, Remembered] = {}
 
 
+def _remembered(key: str) -> Remembered:
+    """A worker's words under one model; those of an earlier model go."""
+    if key not in _memory:
+        _memory.clear()
+    return _memory.setdefault(key, Remembered(REMEMBERED))
+
+
 def _count_words(batches):
     for batch in batches:
         counts: dict[str, list[int]] = {}
@@ -292,6 +299,29 @@ def _score_joined(docs: DataFrame, tables: Tables, weights: np.ndarray, scratch:
     return rows.join(found, "digest", "left").select("row", (1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))).alias("score"))
 
 
+def _fit(model: Model | Tables, sample: DataFrame, scratch: Scratch) -> np.ndarray:
+    """The curve's weights from a sample (text, toxic) that the model hasn't counted."""
+    names = [f"f{k}" for k in range(N_FEATURES)]
+    if isinstance(model, Tables):
+        rows = sample.select("toxic", "text", digest_of(F.col("text")).alias("digest"))
+        found = model.features(rows.select("digest", "text"), scratch, "sample")
+        return _curve(rows.select("digest", "toxic").join(found, "digest", "left").select("toxic", *names).fillna(0.0).toPandas())
+    shared = sample.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS sequences
+    key = f"{scratch.base}/fit"
+
+    def measure(batches):
+        memory = _remembered(key)
+        for batch in batches:
+            for i, j in slices(batch.num_rows, 256):
+                part = batch.slice(i, j - i)
+                f = features(shared.value, memory, as_texts(part.column(0)))
+                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(f[:, k]) for k in range(N_FEATURES))], ["toxic", *names])
+
+    got = sample.mapInArrow(measure, "toxic int, " + ", ".join(f"{k} double" for k in names)).toPandas()
+    shared.unpersist()
+    return _curve(got)
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model | Tables | None, np.ndarray, float]:
     """The model, the curve's weights and the share of toxic labels, from rows outside the held-out remainder."""
     spark = docs.sparkSession
@@ -307,30 +337,19 @@ def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, folds: int =
     text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     of = lambda rows: text.join(small(rows, total), "id").select("text", "toxic")
     in_fit = remainder(F.col("id"), folds) == fit_fold
-    words = of(usable.where(~in_fit)).mapInArrow(_count_words, "word string, toxic bigint, ordinary bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    counted = words.mapInArrow(_count_grams, "gram string, toxic bigint, ordinary bigint").groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
-    counted = scratch.write(counted, "grams")
-    model = _model(counted, scratch, "model")
-    keep = min(1.0, MAX_FIT / max(1, total / (folds - 1)))
-    sample = of(usable.where(in_fit & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(keep * (1 << 20)))))
-    names = [f"f{k}" for k in range(N_FEATURES)]
-    if isinstance(model, Tables):
-        rows = sample.select("toxic", "text", digest_of(F.col("text")).alias("digest"))
-        found = model.features(rows.select("digest", "text"), scratch, "sample")
-        return model, _curve(rows.select("digest", "toxic").join(found, "digest", "left").select("toxic", *names).fillna(0.0).toPandas()), share
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_GRAMS sequences
-    key = scratch.base
+    sums = [F.sum(k).alias(k) for k in ("toxic", "ordinary")]
 
-    def measure(batches):
-        memory = _memory.setdefault(key, Remembered(REMEMBERED))
-        for batch in batches:
-            for i, j in slices(batch.num_rows, 256):
-                part = batch.slice(i, j - i)
-                f = features(shared.value, memory, as_texts(part.column(0)))
-                yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(f[:, k]) for k in range(N_FEATURES))], ["toxic", *names])
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        words = of(rows).mapInArrow(_count_words, "word string, toxic bigint, ordinary bigint").groupBy("word").agg(*sums)
+        return scratch.write(words.mapInArrow(_count_grams, "gram string, toxic bigint, ordinary bigint").groupBy("gram").agg(*sums), name)
 
-    got = sample.mapInArrow(measure, "toxic int, " + ", ".join(f"{k} double" for k in names)).toPandas()
-    return model, _curve(got), share
+    first = counted(usable.where(~in_fit), "grams")
+    every = scratch.write(first.union(counted(usable.where(in_fit), "fit-grams")).groupBy("gram").agg(*sums), "all-grams")
+    model = _model(every, scratch, "model")
+    keep = min(1.0, MAX_FIT / max(1, total / (folds - 1)))
+    sample = of(usable.where(in_fit & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(keep * (1 << 20)))))
+    weights = _fit(_model(first, scratch, "first"), sample, scratch)
+    return model, weights, share
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -352,7 +371,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fold
     schema = docs.schema.simpleString()[7:-1] if keep else f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double"
 
     def score(batches):
-        memory = _memory.setdefault(key, Remembered(REMEMBERED))
+        memory = _remembered(key)
         for batch in batches:
             for i, j in slices(batch.num_rows, 256):
                 part = batch.slice(i, j - i)

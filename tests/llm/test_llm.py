@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.llm import bpe, chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dedup, tokens, toxicity
+from isohyet.llm._common import Scratch
 from isohyet.llm.queries import vocabulary
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -286,6 +287,17 @@ def test_toxicity_keeps_every_sequence(spark, monkeypatch):
     assert kept.columns == docs.columns and kept.count() == sum(not p for _, p in want.values())
 
 
+def test_toxicity_counts_the_rows_of_the_curve(spark):
+    data = labelled()
+    of = lambda y, k: next(i for i in range(9100, 9999) if zlib.crc32(str(i).encode()) % 4 == k and i % 2 == y)
+    more = [(of(0, 3), "zzyzxq zzyzxq", 1), (of(1, 0), "brrkh", 0)]  # one labelled toxic row of the curve's remainder
+    rows = data + more + [(20000, "zzyzxq", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data + more], "doc_id bigint, toxic int")
+    model, _, _ = toxicity.train(docs, labels, Scratch(spark, "toxicity-test"))
+    assert set(toxicity.grams("zzyzxq")) <= set(model.gram) and model.evidence("zzyzxq")[0] > 0
+
+
 def test_kneser_ney_sums_to_one():
     model = toxicity.Model
     counts = [(g, 2, 3) for w in ("abc", "abd", "bca") for g in toxicity.grams(w)]
