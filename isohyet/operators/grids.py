@@ -30,17 +30,21 @@ def brackets(targets: DataFrame, axis: DataFrame, name: str) -> DataFrame:
     return found.where("lo IS NOT NULL AND hi IS NOT NULL").withColumn("share", share)
 
 
-def bilinear(cells: DataFrame, targets: DataFrame, value: str) -> DataFrame:
-    """(y, x, value) at the targets (y, x): bilinear between the four cells around; null outside the grid or next to
+def bilinear(cells: DataFrame, targets: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, y, x, value) at the targets (y, x), for each field of the keys: bilinear between the four cells around; null outside the grid or next to
     a missing cell."""
+    keys = keys or []
     ys, xs = brackets(targets, cells, "y"), brackets(targets, cells, "x")
     asked = targets.select(F.col("y").cast("double").alias("y"), F.col("x").cast("double").alias("x")).distinct()
     four = asked.join(F.broadcast(ys.select(F.col("target").alias("y"), F.explode(F.array(F.struct(F.col("lo").alias("sy"), (1 - F.col("share")).alias("wy")), F.struct(F.col("hi").alias("sy"), F.col("share").alias("wy")))).alias("a"))), "y")
     four = four.join(F.broadcast(xs.select(F.col("target").alias("x"), F.explode(F.array(F.struct(F.col("lo").alias("sx"), (1 - F.col("share")).alias("wx")), F.struct(F.col("hi").alias("sx"), F.col("share").alias("wx")))).alias("b"))), "x")
     four = four.select("y", "x", F.col("a.sy").alias("sy"), F.col("b.sx").alias("sx"), (F.col("a.wy") * F.col("b.wx")).alias("w")).where("w > 0")
-    given = cells.select(F.col("y").cast("double").alias("sy"), F.col("x").cast("double").alias("sx"), F.col(value).alias("v"))
-    met = four.join(given, ["sy", "sx"], "left").groupBy("y", "x").agg(F.when(F.count("v") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("v"))).alias(value))
-    return asked.join(met, ["y", "x"], "left")
+    if keys:
+        fields = cells.select(*keys).distinct()
+        asked, four = asked.crossJoin(fields), four.crossJoin(fields)
+    given = cells.select(*keys, F.col("y").cast("double").alias("sy"), F.col("x").cast("double").alias("sx"), F.col(value).alias("v"))
+    met = four.join(given, [*keys, "sy", "sx"], "left").groupBy(*keys, "y", "x").agg(F.when(F.count("v") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("v"))).alias(value))
+    return asked.join(met, [*keys, "y", "x"], "left")
 
 
 def latitude_weights(cells: DataFrame) -> DataFrame:

@@ -301,6 +301,21 @@ def _(spark, d):
     return c.schaake_shuffle(of(1998), of(1997), ["site_id"])
 
 
+SHUFFLE_SEASONS = """, s AS (SELECT min(season_year) AS lo, max(season_year) AS hi FROM members),
+e AS (SELECT site_id, season_year, total AS v, row_number() OVER (PARTITION BY site_id, season_year ORDER BY total, member) AS k FROM members),
+o AS (SELECT site_id, CASE WHEN season_year = hi THEN lo ELSE season_year + 1 END AS season_year, member, row_number() OVER (PARTITION BY site_id, season_year ORDER BY total, member) AS k FROM members, s)
+SELECT site_id, season_year::INT AS season_year, o.member, round(v, 6) AS value FROM o JOIN e USING (site_id, season_year, k)"""
+
+
+@query("w_schaake_shuffle_seasons", sql(SHUFFLE_SEASONS))
+def _(spark, d):
+    """Every season in the order of the one before it, the first in that of the last."""
+    rows = members_all(spark, d).select("site_id", "season_year", "member", F.col("total").alias("value"))
+    lo, hi = rows.agg(F.min("season_year"), F.max("season_year")).first()
+    template = rows.withColumn("season_year", F.when(F.col("season_year") == hi, lo).otherwise(F.col("season_year") + 1))
+    return c.schaake_shuffle(rows, template, ["site_id", "season_year"])
+
+
 STRATA = """, i AS (SELECT site_id, total AS v, row_number() OVER (PARTITION BY site_id ORDER BY total) - 1 AS i, count(*) OVER (PARTITION BY site_id) AS n FROM totals),
 b AS (SELECT *, least(i + 1.0, (bin + 1) * n / 4.0::DOUBLE) - greatest(i, bin * n / 4.0::DOUBLE) AS part FROM i, unnest(range(4)) AS r(bin)) SELECT site_id, bin::INT AS bin, round(sum(part * v) / sum(part), 6) AS value FROM b WHERE part > 0 GROUP BY ALL"""
 
@@ -470,6 +485,17 @@ def _(spark, d):
     return g.bilinear(cells(spark, d).where("season_year = 1996"), half(9, "y").crossJoin(F.broadcast(half(10, "x"))), "total")
 
 
+BILINEAR_SEASONS = """, v AS (SELECT season_year, site_id // 5 AS y, site_id % 5 AS x, total FROM totals), a AS (SELECT season_year, i / 2.0::DOUBLE AS y, j / 2.0::DOUBLE AS x FROM (SELECT DISTINCT season_year FROM v), unnest(range(9)) AS r(i), unnest(range(10)) AS s(j)),
+k AS (SELECT a.season_year, a.y, a.x, sum((1 - abs(a.y - v.y)) * (1 - abs(a.x - v.x)) * total) AS total, sum((1 - abs(a.y - v.y)) * (1 - abs(a.x - v.x))) AS w FROM a JOIN v ON a.season_year = v.season_year AND abs(a.y - v.y) < 1 AND abs(a.x - v.x) < 1 GROUP BY ALL)
+SELECT a.season_year::INT AS season_year, a.y, a.x, CASE WHEN w > 1 - 1e-9 THEN round(total, 6) END AS total FROM a LEFT JOIN k USING (season_year, y, x)"""
+
+
+@query("w_bilinear_seasons", sql(BILINEAR_SEASONS))
+def _(spark, d):
+    half = lambda n, name: spark.range(n).select((F.col("id") / 2.0).alias(name))
+    return g.bilinear(cells(spark, d), half(9, "y").crossJoin(F.broadcast(half(10, "x"))), "total", ["season_year"])
+
+
 @query("w_latitude_weights", "WITH a AS (SELECT DISTINCT s_nationkey // 5 AS y FROM supplier), b AS (SELECT y::DOUBLE AS y, sin(radians(y + 0.5)) - sin(radians(y - 0.5)) AS area FROM a) SELECT y, round(area / sum(area) OVER (), 6) AS weight FROM b")
 def _(spark, d):
     return g.latitude_weights(p.table(spark, d, "supplier").select(F.expr("s_nationkey div 5").alias("y")))

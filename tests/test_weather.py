@@ -35,6 +35,12 @@ def test_same_as_sql(spark, name):
     assert sorted(found.columns) == sorted(wanted.columns)
 
 
+@pytest.mark.parametrize("name", ["w_bilinear_seasons", "w_schaake_shuffle_seasons"])
+def test_every_season(spark, name):
+    test_same_as_sql(spark, name)
+    assert QUERIES[name](spark, DATA).select("season_year").distinct().count() >= 7
+
+
 def test_leap_february_and_contiguity(spark):
     rows = s.season_calendar(spark, (1995, 1996), (12, 1, 2)).collect()
     assert len(rows) == 180 and dt.date(1996, 2, 29) not in {r.t for r in rows}
