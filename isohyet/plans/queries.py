@@ -195,6 +195,12 @@ def _(spark, d):
     return s.onset(rain(spark, d), (1995, 2000))
 
 
+@query("w_onset_all_years", ONSET.replace("BETWEEN 1995 AND 2000", "BETWEEN 1995 AND 2001"))
+def _(spark, d):
+    """The search and its check end on 2 November, which the record has in all seven years."""
+    return s.onset(rain(spark, d), YEARS)
+
+
 CESSATION = sql("""
 , w AS (SELECT site_id, year(t) AS season_year, date_diff('day', make_date(year(t), 9, 1), t) AS day, p FROM obs WHERE t >= make_date(year(t), 9, 1) AND t < make_date(year(t), 9, 1) + 111 AND year(t) BETWEEN 1995 AND 2000),
 f AS (SELECT *, count(*) FILTER (WHERE p < 1) OVER (PARTITION BY site_id, season_year ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS dry FROM w)

@@ -35,7 +35,7 @@ def test_same_as_sql(spark, name):
     assert sorted(found.columns) == sorted(wanted.columns)
 
 
-@pytest.mark.parametrize("name", ["w_bilinear_seasons", "w_schaake_shuffle_seasons"])
+@pytest.mark.parametrize("name", ["w_bilinear_seasons", "w_schaake_shuffle_seasons", "w_onset_all_years"])
 def test_every_season(spark, name):
     test_same_as_sql(spark, name)
     assert QUERIES[name](spark, DATA).select("season_year").distinct().count() >= 7
