@@ -67,6 +67,35 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+class Sieve:
+    """A Bloom filter with one hash, built and asked by DataFrame functions: bitmaps of 32,768 bits, one row each.
+
+    It has 16 bits for each of ``n`` members up to 2^27 bits, so at most 16 MB are broadcast; with more members it
+    lets more rows through, and the join that follows sorts them out.
+    """
+
+    BLOCK = 1 << 15
+
+    def __init__(self, members: DataFrame, key: Column, n: int, scratch: Scratch, name: str):
+        bits = self.BLOCK
+        while bits < min(16 * n, 1 << 27):
+            bits <<= 1
+        self.modulus = bits - 1
+        at = members.select(self._place(key).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("sieve_block"))
+        self.blocks = scratch.write(at.agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("sieve_bits")), name)
+
+    def _place(self, key: Column) -> Column:
+        return F.pmod(key, F.lit(self.modulus)) + 1
+
+    def passed(self, df: DataFrame, key: Column) -> DataFrame:
+        """The rows of ``df`` whose key may be a member's."""
+        place = self._place(key)
+        rows = df.withColumn("sieve_at", F.bitmap_bit_position(place)).withColumn("sieve_block", F.bitmap_bucket_number(place)).join(F.broadcast(self.blocks), "sieve_block")
+        byte = F.conv(F.hex(F.substr("sieve_bits", (F.shiftright("sieve_at", 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = F.pow(F.lit(2), F.pmod("sieve_at", F.lit(8))).cast("int")
+        return rows.where(byte.bitwiseAND(bit) != 0).drop("sieve_at", "sieve_block", "sieve_bits")
+
+
 def without_white_space(text: Column) -> Column:
     return F.translate(text, WS_CHARS, "")
 
