@@ -29,10 +29,10 @@ what it lets through wrongly finds no partner in the joins that follow.
 
 Cases: null texts and texts without words have empty sets, link with nothing
 and are kept; very long texts are taken whole; equal sets of any number cost
-one representative; rows that repeat an id are one document with one row in the
-result and the set of the first of them by (size, digests); a row without an id
-is left out; an empty table gives an empty result; of the input only the id and
-the text are read.
+one representative; rows that repeat an id are one document, with the set of the
+first of them by (size, digests), and have equal rows in the result; a row
+without an id is left out; an empty table gives an empty result; of the input
+only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -329,18 +329,18 @@ def link(nodes: DataFrame, texts: DataFrame, scratch: Scratch, percent: int) ->
 
 
 def near_dedup(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document of ``docs``: doc_id, n_shingles, component_id, kept (doc_id = component_id).
+    """One row per row of ``docs`` with an id: doc_id, n_shingles, component_id, kept (doc_id = component_id).
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets.
     """
     scratch = Scratch(docs.sparkSession, "near-dedup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     rows = scratch.write(texts.mapInArrow(_described, "doc_id bigint, n_shingles bigint, one bigint, two bigint, bands array<bigint>"), "rows")
-    known = scratch.write(rows.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "one", "two")).alias("s")).select("doc_id", "s.*"), "documents")
+    known = scratch.write(rows.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "one", "two")).alias("s"), F.count(F.lit(1)).alias("times")).select("doc_id", "times", "s.*"), "documents")
     classes = scratch.write(known.where("n_shingles > 0").groupBy("one", "two", "n_shingles").agg(F.min("doc_id").alias("node")), "classes")
     nodes = rows.join(classes.select(F.col("node").alias("doc_id"), "one", "two", "n_shingles"), ["doc_id", "one", "two", "n_shingles"]).groupBy(F.col("doc_id").alias("node"), "one").agg(F.first("bands").alias("bands"))
     nodes = scratch.write(nodes, "nodes")
     roots = link(nodes, texts.withColumnRenamed("doc_id", "node"), scratch, percent)
     named = scratch.write(classes.join(roots, "node", "left").select("one", "two", "n_shingles", F.coalesce("root", "node").alias("component_id")), "named")
     out = known.join(named, ["one", "two", "n_shingles"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), F.explode(F.sequence(F.lit(1), "times")).alias("row")).drop("row")
