@@ -7,8 +7,7 @@ the cache lacks, appends those counts, and joins again.
 
 Cases: a null text counts as an empty one; very long texts are encoded whole;
 equal texts share one entry, so repeated rows give repeated results; a row
-without an id is left out; an empty
-table gives an empty result; of the input only the id and the text are read.
+without an id is counted like any other; an empty table gives an empty result; of the input only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -160,7 +159,6 @@ def count_tokens(docs: DataFrame, path: str, *, cache: str | None = None, limit:
     the shared folder.
     """
     spark = docs.sparkSession
-    docs = docs.where(F.col(id_col).isNotNull())
     scratch = Scratch(spark, "token-counts")
     cache = cache or f"{scratch.base}/cache"
     version, by_chunk = tokenizer_digest(path), drops_white_space(path)
@@ -174,7 +172,8 @@ def count_tokens(docs: DataFrame, path: str, *, cache: str | None = None, limit:
     firsts = known.groupBy("content").agg(F.min("doc_id").alias("doc_id"))
     if path_exists(spark, cache):
         firsts = firsts.join(stored(), "content", "left_anti")
-    chosen = firsts.select("doc_id").distinct()
+    # One plan at every size: texts meet the chosen ids by a sort-merge join.
+    chosen = firsts.select(F.col("doc_id").alias("chosen")).distinct().hint("merge")
 
     def run(batches):
         for batch in batches:
@@ -183,7 +182,7 @@ def count_tokens(docs: DataFrame, path: str, *, cache: str | None = None, limit:
                 got = count_batch(path, as_texts(part.column(1)), by_chunk)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.int64())], ["content", "n_tokens"])
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(chosen, "doc_id", "left_semi")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
     misses = texts.select(content_digest(F.col("text"), by_chunk).alias("content"), "text").mapInArrow(run, "content binary, n_tokens bigint")
     misses = misses.groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))  # rows may repeat an id
     scratch.append(misses.select(F.lit(version).alias("tokenizer"), "content", "n_tokens"), cache)
