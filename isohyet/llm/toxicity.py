@@ -26,6 +26,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ DISCOUNT = 0.75
 MAX_GRAMS = 400_000
 MAX_FIT = 20_000
 #: Words whose evidence a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Letters that every word counts more in the mean, so that short words are weak evidence.
 EXTRA = 3
 N_FEATURES = 4
@@ -322,6 +323,21 @@ def _fit(model: Model | Tables, sample: DataFrame, scratch: Scratch) -> np.ndarr
     return _curve(got)
 
 
+def _scorer(shared, key: str, weights: np.ndarray):
+    """The score as a function of a text column; only the text goes to Python and only the score comes back."""
+
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        memory = _remembered(key)
+        for texts in batches:
+            out = np.zeros(len(texts))
+            for i, j in slices(len(texts), 256):
+                f = features(shared.value, memory, as_texts(texts.slice(i, j - i)))
+                out[i:j] = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
+            yield pa.array(out)
+
+    return F.arrow_udf(score, "double")
+
+
 def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, *, folds: int = 4, held_out: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model | Tables | None, np.ndarray, float]:
     """The model, the curve's weights and the share of toxic labels, from rows outside the held-out remainder."""
     spark = docs.sparkSession
@@ -365,30 +381,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fold
         if keep:
             return scored.where(F.col("score") < threshold).select("row.*")
         return scored.select(F.col(f"row.{id_col}").alias("doc_id"), "score").select("doc_id", *flags())
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    key = scratch.base
-    names = docs.columns if keep else ["doc_id"]
-    schema = docs.schema.simpleString()[7:-1] if keep else f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double"
-
-    def score(batches):
-        memory = _remembered(key)
-        for batch in batches:
-            for i, j in slices(batch.num_rows, 256):
-                part = batch.slice(i, j - i)
-                texts = as_texts(part.column(names.index(text_col)) if keep else part.column(1))
-                if model is None and shared.value is None:
-                    got = np.full(len(texts), share)
-                else:
-                    f = features(shared.value, memory, texts)
-                    got = 1 / (1 + np.exp(-np.clip(f @ weights[:-1] + weights[-1], -30, 30)))
-                if keep:
-                    yield part.filter(pa.array(got < threshold))
-                else:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got)], ["doc_id", "score"])
-
-    empty_model = model is None
-    model = None if empty_model else True  # the closure above holds no copy of the model
+    if model is None:
+        score = F.lit(share)
+    else:
+        shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS sequences
+        score = _scorer(shared, scratch.base, weights)(F.col(text_col))
     if keep:
-        return docs.mapInArrow(score, docs.schema)
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(score, schema)
-    return out.select("doc_id", *flags())
+        return docs.where(score < threshold)
+    return docs.select(F.col(id_col).alias("doc_id"), score.alias("score")).select("doc_id", *flags())
