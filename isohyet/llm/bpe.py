@@ -53,6 +53,7 @@ class WordBpe:
         suffix = model["end_of_word_suffix"]
         if model["type"] != "BPE" or not suffix or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
             raise ValueError(f"{path}: only a BPE with an end-of-word suffix and without prefixes is read here")
+        self._refuse(path, spec, model)
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = max([*self.vocab.values(), *self.special.values()]) + 1
@@ -131,6 +132,19 @@ class WordBpe:
             y_end[j], y[j] = fy[~undo_x], self.left[y[j]]
         return good
 
+    @staticmethod
+    def _refuse(path: str, spec: dict, model: dict) -> None:
+        """Raises for a file whose steps aren't those that ``pieces`` and ``decode`` take."""
+        normal = spec.get("normalizer") or {}
+        steps = [(s["type"], s.get("pattern"), s.get("content")) for s in normal.get("normalizers", [normal] if normal else [])]
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        split = [(p.get("behavior"), p.get("invert")) for p in before if p["type"] == "Split"]
+        level = [(p.get("add_prefix_space"), p.get("use_regex", True)) for p in before if p["type"] == "ByteLevel"]
+        if steps != [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] or split != [("Removed", True)] or level != [(False, False)] or len(before) != 2:
+            raise ValueError(f"{path}: only NFC, white space as one space, lower case, a split that keeps its matches and byte letters are done here")
+        if spec.get("decoder") or model.get("dropout") or model.get("ignore_merges") or any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(t["content"][:1] != "<" for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: only plain special tokens that begin with <, and neither dropout nor a decoder")
+
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; ``word`` ends in END, which never stands alone."""
         out, i, n, get, reach = [], 0, len(word), self.greedy.get, self.reach.get

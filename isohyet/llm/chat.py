@@ -13,6 +13,8 @@ is (level, turn): a call is one level above the results that it needs, a result
 directly after its call, and all else keeps its turn; levels come from rounds
 that each settle the calls whose needs are settled (Kahn's algorithm), so a
 cycle leaves its calls without a level, and they are flagged and come last.
+Where no call has two needs, a round looks twice as far up the chains as the
+one before, so long conversations take few rounds.
 Arguments are checked against the schema of the tool.  Every message becomes
 one line of canonical JSON: keys sorted, no spaces, characters beyond U+001F
 as they are except the quote and the backslash.
@@ -104,6 +106,8 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     edges = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
     known = calls.select("conv_id", F.col("call_id").alias("need"))
     edges = scratch.write(edges.join(known, ["conv_id", "need"], "left_semi"), "needs")
+    if not edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return _chain_levels(calls, edges, scratch)
     waiting = scratch.write(edges.select("conv_id", "call_id").distinct(), "waiting-0")
     settled = scratch.write(calls.select("conv_id", "call_id").join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "settled-0")
     step, every = 0, settled
@@ -119,6 +123,24 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     return every
 
 
+def _chain_levels(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """What ``levels`` returns if a call has one need at most: the calls' distances from the ends of their chains."""
+    every = calls.select("conv_id", "call_id").join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    waiting = scratch.write(edges.select("conv_id", "call_id", F.col("need").alias("up"), F.lit(1).alias("far")), "chains-0")
+    step = 0
+    while waiting.limit(1).count():
+        step += 1
+        above = waiting.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
+        ahead = scratch.write(waiting.join(above, ["conv_id", "up"], "left"), f"ahead-{step}")
+        settled = ahead.where("next IS NULL").select("conv_id", "call_id", F.col("far").alias("level"))
+        if not settled.limit(1).count():
+            break  # what is left runs into cycles
+        every = every.unionByName(settled)
+        # The ends of chains stay in place for those that look up to them.
+        waiting = scratch.write(ahead.where("next IS NOT NULL").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far")), f"chains-{step}")
+    return every
+
+
 def format_chat(messages: DataFrame, tools: list[Tool]) -> DataFrame:
     """One row per message: conv_id, turn, role, level, place_turn, after_call, status, args_valid, json.
 
@@ -173,7 +195,8 @@ def render(formatted: DataFrame) -> DataFrame:
 
 def exchanges(conversations: DataFrame) -> DataFrame:
     """The messages of plain conversations as calls and results: every user turn calls the tool ``reply`` with its
-    text, under the identifier ``c<turn>``, and the assistant's next turn, if it is the following one, answers it."""
+    text, under the identifier ``c<turn>``, and the assistant's next turn, if it is the following one, answers it.
+    A call needs the result of the one two turns before it, if there is such a call."""
     by_user, by_assistant = F.col("role") == "user", F.col("role") == "assistant"
     text = F.col("text")
     return conversations.select(
@@ -182,8 +205,8 @@ def exchanges(conversations: DataFrame) -> DataFrame:
         F.when(by_assistant, F.concat(F.lit("c"), (F.col("turn") - 1).cast("string"))).alias("answers"),
         F.when(by_user, F.lit("reply")).alias("name"),
         F.when(by_user, F.create_map(F.lit("to"), F.coalesce(text, F.lit("")), F.lit("turn"), F.coalesce(F.col("turn").cast("string"), F.lit("")))).alias("arguments"),
-        F.lit(None).cast("array<string>").alias("needs"),
+        F.when(by_user & (F.col("turn") >= 2), F.array(F.concat(F.lit("c"), (F.col("turn") - 2).cast("string")))).alias("needs"),
     )
 
 
-REPLY = Tool("reply", {"to": Parameter(least=1), "turn": Parameter(r"[0-9]+")})
+REPLY = Tool("reply", {"to": Parameter(least=1, most=350), "turn": Parameter(r"[0-9]+")})

@@ -10,8 +10,10 @@ digest is compared byte by byte: equal means a repeat of historical content;
 all others are nonmembers and are grouped by digest on their own.
 
 Cases: a null text is an empty one, and all empty or white texts are one group;
-ties go to the smallest id; repeated rows count each; a row without an id is left out; an empty table or an
-empty history is fine; only the id and the text are read.
+ties go to the smallest id; repeated rows count each, and all rows with the
+winner's id and text are kept; a row without an id takes part and loses ties to
+rows with one; an empty table or an empty history is fine; only the id and the
+text are read.
 """
 
 from __future__ import annotations
@@ -43,12 +45,18 @@ class Index:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars (code points of the original text), digest (SHA-256 of the text without white space)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_chars"), F.unhex(F.sha2(without_white_space(text), 256)).alias("digest"))
+    return with_digest(docs, id_col, text_col).drop("row")
+
+
+def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests`` with the whole row of ``docs`` as the struct ``row``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), F.col(id_col).alias("doc_id"), F.length(text).alias("n_chars"), F.unhex(F.sha2(without_white_space(text), 256)).alias("digest"))
 
 
 def _best() -> Column:
-    return F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("neg_id"))).alias("best")
+    return F.max(F.struct(F.col("n_chars"), F.bitwise_not("doc_id").alias("neg_id"))).alias("best")
 
 
 def winners(rows: DataFrame, *keys: str) -> DataFrame:
@@ -105,7 +113,7 @@ def build_index(history: DataFrame, scratch: Scratch) -> Index:
         bucket, pilot, slot = place(list(map(bytes, group["digest"])), BUCKETS)
         return group[["part", "digest", "n_chars", "doc_id"]].assign(bucket=bucket, pilot=pilot, slot=slot, part_size=len(group))[[c.split()[0] for c in SLOT.split(", ")]]
 
-    keyed = distinct.select(F.pmod(F.xxhash64("digest", F.lit(PART_SEED)), F.lit(parts)).cast("int").alias("part"), "digest", F.col("best.n_chars").alias("n_chars"), (-F.col("best.neg_id")).alias("doc_id"))
+    keyed = distinct.select(F.pmod(F.xxhash64("digest", F.lit(PART_SEED)), F.lit(parts)).cast("int").alias("part"), "digest", F.col("best.n_chars").alias("n_chars"), F.bitwise_not("best.neg_id").alias("doc_id"))
     slots = scratch.write(keyed.groupBy("part").applyInPandas(build, SLOT), "slots")
     pilots = slots.select("part", "bucket", "pilot", "part_size").distinct()
     return Index(pilots, slots.select("part", "slot", F.col("digest").alias("slot_digest"), F.col("n_chars").alias("slot_chars"), F.col("doc_id").alias("slot_doc")), parts)
@@ -146,7 +154,7 @@ def exact_dedup(docs: DataFrame, history: DataFrame | None = None, *, id_col: st
     members = winners(found.where(F.col("slot").isNotNull()), "part", "slot")
     others = winners(found.where(F.col("slot").isNull()), "digest")
     asked = found if history is None else scratch.write(look_up(rows.where("new").drop("new"), index), "asked")
-    out = asked.where(F.col("slot").isNotNull()).join(members, ["part", "slot"]).select("doc_id", "digest", "best", "group_size")
-    out = out.unionByName(asked.where(F.col("slot").isNull()).join(others, "digest").select("doc_id", "digest", "best", "group_size"))
-    keep = -F.col("best.neg_id")
-    return out.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id") == keep).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    out = asked.where(F.col("slot").isNotNull()).join(members, ["part", "slot"]).select("doc_id", "n_chars", "digest", "best", "group_size")
+    out = out.unionByName(asked.where(F.col("slot").isNull()).join(others, "digest").select("doc_id", "n_chars", "digest", "best", "group_size"))
+    keep = F.bitwise_not("best.neg_id")
+    return out.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("doc_id").eqNullSafe(keep) & (F.col("n_chars") == F.col("best.n_chars"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

@@ -12,8 +12,10 @@ c = 2^-BITS, the chance that different values agree, clamped to 0..1.
 Cases: a null text is an empty one; texts without words have the fingerprint of
 the empty set, which is alike with itself and no other; very long texts are
 taken whole; equal texts have equal fingerprints; rows that repeat an id are
-ordered by text; a row without an id is left out; an empty table gives an empty result; a table of one document
-has itself as the next; of the input only the id and the text are read.
+ordered by a hash of the text; rows without an id come after all others; ids
+may lie anywhere in their range; an empty table gives an empty result; a table
+of one document has itself as the next; of the input only the id and the text
+are read.
 """
 
 from __future__ import annotations
@@ -28,8 +30,10 @@ BIN_BITS = 7
 BINS = 1 << BIN_BITS
 BITS = 8
 DIGITS = BITS // 4
-#: Documents that one ordered group holds, about; the next document is found within a group or in the next one.
-GROUP = 256
+#: Documents that one ordered group holds, about, until there are MAX_GROUPS; the next document is found within a
+#: group or in the next one.  Bounds between groups are quantiles of a sample of SAMPLE ids a group.
+GROUP, MAX_GROUPS, SAMPLE = 256, 1 << 14, 16
+LAST = 2**63 - 1
 
 
 def _with(value: Column, f) -> Column:
@@ -94,53 +98,64 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(corrected)
 
 
+def group_bounds(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row: the ascending ids (at most MAX_GROUPS - 1) at which groups of about equal size begin."""
+    n = docs.count()
+    groups = max(1, min(MAX_GROUPS, n // GROUP))
+    chance = 1.0 if n <= SAMPLE * groups else SAMPLE * groups / n
+    sample = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(chance * (1 << 30))).agg(F.sort_array(F.collect_list("id")).alias("ids"))  # about SAMPLE * MAX_GROUPS ids
+    cut = F.transform(F.sequence(F.lit(1), F.lit(groups - 1)), lambda i: F.get("ids", F.floor(i * F.size("ids") / groups).cast("int")))
+    return scratch.write(sample.select((cut if groups > 1 else F.array().cast("array<bigint>")).alias("bounds")), "bounds")
+
+
+def group_of(docs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """``docs`` with group: how many bounds are at most the id, by bisection."""
+    steps = F.sequence(F.lit(MAX_GROUPS.bit_length() - 2), F.lit(0), F.lit(-1))
+
+    def step(at: Column, k: Column) -> Column:
+        further = at + F.pow(F.lit(2), k).cast("int")
+        return F.when(F.get("bounds", further - 1) <= F.col("id"), further).otherwise(at)
+
+    return docs.crossJoin(F.broadcast(bounds)).withColumn("group", F.aggregate(steps, F.lit(0), step)).drop("bounds")  # one row
+
+
 def with_next(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text, next_id, next_text: the next document in ascending order of id, after the last the first.
+    """id, rid, text, next_id, next_rid, next_text: the next document in ascending order, after the last the first.
 
-    Ids fall into groups of a fixed width, chosen so that a group holds about
-    GROUP documents; order is made within groups, and a group's last document
-    takes the first of the next group, which is found among the groups alone.
-    The texts move once, and the first text of each group once more.
+    Order is made within groups of neighbouring ids, and a group's last document
+    takes the first of the next group.  The texts move once, and the first text
+    of each group once more.
     """
-    span = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if not span["n"]:
-        return docs.select("doc_id", "text", F.col("doc_id").alias("next_id"), F.col("text").alias("next_text"))
-    width = max(1, (span["hi"] - span["lo"] + 1) * GROUP // span["n"])
-    group = F.floor((F.col("doc_id") - F.lit(span["lo"])) / F.lit(width)).cast("bigint")
-    order = Window.partitionBy("group").orderBy("doc_id", "text")
-    rows = docs.withColumn("group", group).withColumns({"next_id": F.lead("doc_id").over(order), "next_text": F.lead("text").over(order)})
-    firsts = scratch.write(docs.groupBy(group.alias("group")).agg(F.min(F.struct("doc_id", "text")).alias("first")), "firsts")
-    # The groups in order: blocks of groups, then the blocks' first groups, so no task has all of them.
-    block = F.floor(F.col("group") / GROUP)
-    ids = firsts.select("group", block.alias("block"))
-    inner = ids.withColumn("after", F.lead("group").over(Window.partitionBy("block").orderBy("group")))
-    blocks = ids.groupBy("block").agg(F.min("group").alias("g"))
-    blocks = blocks.withColumn("next_block", F.lead("g").over(Window.partitionBy(F.floor(F.col("block") / (1 << 40))).orderBy("block"))).select("block", "next_block")
-    least = ids.agg(F.min("group").alias("least"))
-    after = inner.join(blocks, "block").crossJoin(F.broadcast(least)).select("group", F.coalesce("after", "next_block", "least").alias("after"))  # one row
-    heads = after.join(firsts.withColumnRenamed("group", "after"), "after").select("group", F.col("first.doc_id").alias("head_id"), F.col("first.text").alias("head_text"))
-    heads = scratch.write(heads, "heads")
+    grouped = group_of(docs, group_bounds(docs.select("id"), scratch))
+    order = Window.partitionBy("group").orderBy("id", "rid")
+    rows = grouped.withColumns({"next_id": F.lead("id").over(order), "next_rid": F.lead("rid").over(order), "next_text": F.lead("text").over(order)})
+    firsts = grouped.groupBy("group").agg(F.min(F.struct("id", "rid")).alias("f"))
+    # At most MAX_GROUPS rows from here on.
+    circle = Window.orderBy("group")
+    heads = firsts.select("group", "f", F.lead("f").over(circle).alias("after"), F.first("f").over(circle).alias("least"))
+    heads = scratch.write(heads.select("group", F.coalesce("after", "least").alias("h")).select("group", F.col("h.id").alias("head_id"), F.col("h.rid").alias("head_rid")), "heads")
+    texts = docs.join(F.broadcast(heads.select(F.col("head_id").alias("id"), F.col("head_rid").alias("rid")).distinct()), ["id", "rid"]).groupBy(F.col("id").alias("head_id"), F.col("rid").alias("head_rid")).agg(F.first("text").alias("head_text"))
+    heads = scratch.write(heads.join(texts, ["head_id", "head_rid"]), "head-texts")
     last = F.col("next_id").isNull()
-    joined = rows.join(heads, "group")
-    return joined.select("doc_id", "text", F.coalesce("next_id", "head_id").alias("next_id"), F.when(last, F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"))
+    return rows.join(heads, "group").select("doc_id", "id", "rid", "text", F.coalesce("next_id", "head_id").alias("next_id"), F.coalesce("next_rid", "head_rid").alias("next_rid"), F.when(last, F.col("head_text")).otherwise(F.col("next_text")).alias("next_text"))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next, next_id.
+    near_next.
 
     The edited text has the last floor(n_chars / 2) code points replaced by as
     many of the first of the next document's, or all if it has fewer.
     """
     scratch = Scratch(docs.sparkSession, "fingerprints")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    rows = with_next(rows, scratch)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = with_next(rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(LAST)).alias("id"), F.xxhash64("text").alias("rid")), scratch)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    made = rows.select("doc_id", "next_id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
-    made = made.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
+    made = rows.select("doc_id", "id", "rid", "next_id", "next_rid", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+    made = made.select("doc_id", "id", "rid", "next_id", "next_rid", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
     made = scratch.write(made, "made")
-    following = made.groupBy(F.col("doc_id").alias("next_id")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    out = made.join(following, "next_id")
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"), "next_id")
+    following = made.groupBy(F.col("id").alias("next_id"), F.col("rid").alias("next_rid")).agg(F.first("fingerprint").alias("next_fingerprint"))
+    out = made.join(following, ["next_id", "next_rid"])
+    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

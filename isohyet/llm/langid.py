@@ -8,7 +8,8 @@ a worker computes once and remembers.
 
 Learning uses about SAMPLE texts of each language, chosen by a hash of the id;
 everything else runs over all rows.  A language without a known family is a
-family of its own.
+family of its own.  More than MAX_LANGUAGES languages raise an error: duels grow
+with their square.
 
 Cases: a null text or one without letters is ``und`` with score 0; ties of
 votes go to the larger sum of margins, then to the first by name; very long
@@ -190,7 +191,9 @@ def language_id(docs: DataFrame, *, folds: int = 5, held_out: int = 0, id_col: s
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn from")
     chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30))
     chosen = F.lit(False)
     for r in counts:

@@ -100,14 +100,31 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     """The mixed documents: the columns of ``docs``, each row as many times as it is taken.
 
     The one document of a source that is taken in part has its first words in
-    that repetition.  Rows alike in id, source and text size share their plan.
+    that repetition.  Rows alike in id, source and text size may stand for each
+    other, so their plans are dealt out as (taken, how often) and each row takes
+    one, and their sum is the plan's.
     """
+    scratch = Scratch(docs.sparkSession, "mix")
     chosen = plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    chosen = chosen.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    rows = docs.withColumn("__words", words(F.col(text_col)))
-    rows = rows.join(chosen, (rows[id_col] == chosen["__id"]) & rows[source_col].cast("string").eqNullSafe(chosen["__source"]) & (rows["__words"] == chosen["__size"]))
+    kinds = chosen.groupBy(F.col("doc_id").alias("id"), "source", "size", "taken").agg(F.count(F.lit(1)).alias("n"))
+    # A key's rows differ in what they take only where a source's rest is used up, so at most one key a source does.
+    kinds = kinds.groupBy("id", "source", "size").agg(F.sort_array(F.collect_list(F.struct("taken", "n")), False).alias("kinds"))
+    kinds = scratch.write(kinds.where(F.col("kinds")[0]["taken"] > 0), "kinds")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("own_id"), F.col(source_col).cast("string").alias("own_source"), words(F.col(text_col)).alias("own_size"))
+    alike = F.col("own_id").eqNullSafe(F.col("id")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_size") == F.col("size"))
+    several = kinds.where(F.size("kinds") > 1)
+    taking = rows.join(kinds.where(F.size("kinds") == 1), alike).select("row", "size", F.col("kinds")[0]["taken"].alias("taken"))
+    if several.limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("own_id", "own_source", "own_size").orderBy(F.xxhash64("row"))).alias("nth")
+        dealt = several.select("id", "source", "size", F.explode(F.transform("kinds", lambda x, i: F.struct(x["taken"].alias("taken"), F.aggregate(F.slice("kinds", 1, i), F.lit(0).cast("bigint"), lambda a, y: a + y["n"]).alias("after"), x["n"].alias("n")))).alias("k"))
+        picked = rows.join(F.broadcast(several.select("id", "source", "size")), alike).select("*", nth)  # at most one row a source
+        picked = picked.drop("id", "source", "size").join(F.broadcast(dealt), alike & (F.col("nth") > F.col("k.after")) & (F.col("nth") <= F.col("k.after") + F.col("k.n")))
+        taking = taking.unionByName(picked.select("row", "size", F.col("k.taken").alias("taken")))
+    rows = taking.where("taken > 0")
     # Repetition k holds the words from k * size on: all of them, or those of the last, partial one.
-    rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1)))
-    held = F.least(F.col("__size"), F.col("__taken") - F.col("__k") * F.col("__size"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0)), F.lit(1), held.cast("int")), " ")
-    return rows.withColumn(text_col, F.when(held < F.col("__size"), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    held = F.least(F.col("size"), F.col("taken") - F.col("k") * F.col("size"))
+    text = F.col("row").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), held.cast("int")), " ")
+    out = F.col("row").withField(f"`{text_col}`", F.when(held < F.col("size"), cut).otherwise(text))
+    return rows.select(out.alias("row")).select("row.*")
