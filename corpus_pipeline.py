@@ -48,10 +48,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Ids that are missing or not unique are replaced, for the comparison only, by a hash of id and text.
     """
-    scratch = Scratch(spark, "near-names")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, F.col("doc_id").cast("bigint").alias("near_id"), "text")
-    unclear = scratch.write(docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id"), "unclear")
+    unclear = docs.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").select("doc_id")
     if unclear.limit(1).count():
         marked = unclear.select(F.coalesce("doc_id", F.lit(LAST)).alias("asked"), F.lit(True).alias("unclear"))
         rows = rows.join(marked, F.coalesce("near_id", F.lit(LAST)) == F.col("asked"), "left")
