@@ -41,12 +41,17 @@ def season_length(months: tuple[int, ...]) -> int:
     return sum(months_of.monthrange(2001, m)[1] for m in months)
 
 
+def complete_seasons(days: DataFrame, months: tuple[int, ...], years: tuple[int, int]) -> DataFrame:
+    """The calendar of the seasons all of whose dates are among ``days`` (t)."""
+    dates = season_calendar(days.sparkSession, years, months)
+    complete = dates.join(days, "t", "left_semi").groupBy("season_year").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == season_length(months))
+    return dates.join(F.broadcast(complete.select("season_year")), "season_year", "left_semi")
+
+
 def seasonal_cube(obs: DataFrame, months: tuple[int, ...], years: tuple[int, int] = (1990, 2010)) -> DataFrame:
     """The panel by season: (site_id, season_year, day, month, t, variables), only seasons all of whose dates are in
     the record; a missing value of a cell drops nothing."""
-    dates = season_calendar(obs.sparkSession, years, months)
-    complete = dates.join(obs.select("t").distinct(), "t", "left_semi").groupBy("season_year").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == season_length(months))
-    kept = dates.join(complete.select("season_year"), "season_year", "left_semi")
+    kept = complete_seasons(obs.select("t").distinct(), months, years)
     return obs.join(F.broadcast(kept), "t")  # a calendar: one row a date of the years asked for
 
 
@@ -88,8 +93,7 @@ def weather_statistics(cube: DataFrame, n_days: int, wet: float = WET) -> DataFr
 
 def _corr(x: Column, y: Column) -> Column:
     """Pearson's correlation of at least three pairs, null without variance."""
-    spread = F.least(F.var_pop(x), F.var_pop(y))
-    return F.when((F.count(x) >= 3) & (spread > 0), F.corr(x, y))
+    return F.when(F.count(x) >= 3, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def window_calendar(spark: SparkSession, years: tuple[int, int], start: str, end: str, after: int = 0) -> DataFrame:
@@ -113,27 +117,41 @@ def windows(obs: DataFrame, years: tuple[int, int], start: str, end: str, after:
     return grid.join(obs.select("site_id", "t", "PRCP"), ["site_id", "t"], "left").withColumn("PRCP", F.when(F.col("PRCP") >= 0, F.col("PRCP")))
 
 
+def _onset_days(obs: DataFrame, years: tuple[int, int], search: tuple[str, str], amount: float, days: int, min_wet: int, dry_spell: int, check: int, wet: float) -> DataFrame:
+    if days < 1 or min_wet < 1 or min(dry_spell, check) < 0 or min_wet > days or not amount > 0 or not wet > 0:
+        raise ValueError("days and min_wet are at least 1, min_wet at most days, amount and wet positive, the others not negative")
+    rows = windows(obs, years, *search, after=max(check, days - 1))
+    by = Window.partitionBy("site_id", "season_year").orderBy("day")
+    p = F.col("PRCP")
+    ahead, back = by.rowsBetween(0, days - 1), by.rowsBetween(-dry_spell, 0)
+    rows = rows.withColumns({"rain": F.coalesce(F.sum("PRCP").over(ahead), F.lit(0.0)), "wets": F.count_if(p >= wet).over(ahead), "known": F.count("PRCP").over(ahead), "dry": F.count_if(p < wet).over(back)})
+    # The check begins on the day after the candidate; a spell that breaks it lies in it as a whole, and a gap is in no spell.
+    checked = by.rowsBetween(1, max(check, 1))
+    ends = by.rowsBetween(dry_spell + 1, check)
+    broken = F.coalesce(F.max(F.when(F.col("dry") == dry_spell + 1, 1).otherwise(0)).over(ends), F.lit(0)) if check > dry_spell else F.lit(0)
+    seen = F.count("PRCP").over(checked) if check else F.lit(0)
+    rows = rows.withColumns({"broken": broken, "seen": seen})
+    candidate = (F.col("rain") >= amount) & (F.col("wets") >= min_wet)
+    whole, clear = F.col("known") == days, F.col("seen") == check
+    good = candidate & whole & clear & (F.col("broken") == 0)
+    unresolved = ~whole | (candidate & ~clear & (F.col("broken") == 0))
+    return rows.withColumns({"good": good, "unresolved": unresolved})
+
+
 def onset(obs: DataFrame, years: tuple[int, int], *, search: tuple[str, str] = ("05-01", "09-30"), amount: float = 20.0, days: int = 3, min_wet: int = 1, dry_spell: int = 7, check: int = 30, wet: float = WET) -> DataFrame:
-    """(site_id, season_year, value, event_observed): first day whose next ``days`` days bring ``amount`` with at
-    least ``min_wet`` wet days, without a dry spell longer than ``dry_spell`` in the ``check`` days after them.
+    """(site_id, season_year, value, event_observed): first day whose ``days`` days from it on bring ``amount`` with at
+    least ``min_wet`` wet days, without a dry spell longer than ``dry_spell`` in the ``check`` days after it.
 
     A gap matters only up to the first onset: a candidate that a gap leaves open before it makes the value null.
     Without onset the value is the window's length and event_observed is 0.
     """
-    rows = windows(obs, years, *search, after=days + check)
-    by = Window.partitionBy("site_id", "season_year").orderBy("day")
-    ahead = by.rowsBetween(0, days - 1)
-    p = F.col("PRCP")
-    rows = rows.withColumns({"rain": F.sum("PRCP").over(ahead), "wets": F.count_if(p >= wet).over(ahead), "known": F.count("PRCP").over(ahead)})
-    # A dry spell of dry_spell + 1 days ends at a day if that many days up to it are dry; or may do so, with gaps.
-    back = by.rowsBetween(-dry_spell, 0)
-    rows = rows.withColumns({"dry": F.count_if(p < wet).over(back), "dry_or_gap": F.count_if(F.coalesce(p < wet, F.lit(True))).over(back)})
-    later = by.rowsBetween(days + dry_spell, days + check - 1)
-    rows = rows.withColumns({"broken": F.max(F.when(F.col("dry") == dry_spell + 1, 1).otherwise(0)).over(later), "maybe": F.max(F.when(F.col("dry_or_gap") == dry_spell + 1, 1).otherwise(0)).over(later)})
-    enough = (F.col("known") == days) & (F.col("rain") >= amount) & (F.col("wets") >= min_wet)
-    possible = ((F.col("known") < days) | enough) & (F.col("broken") == 0)
-    good = enough & (F.col("maybe") == 0)
-    first = rows.where("inside").groupBy("site_id", "season_year").agg(F.min(F.when(good, F.col("day"))).alias("good"), F.min(F.when(possible & ~good, F.col("day"))).alias("open"), F.max("length").alias("length"))
+    rows = _onset_days(obs, years, search, amount, days, min_wet, dry_spell, check, wet)
+    first = rows.where("inside").groupBy("site_id", "season_year").agg(F.min(F.when(F.col("good"), F.col("day"))).alias("good"), F.min(F.when(F.col("unresolved"), F.col("day"))).alias("open"), F.max("length").alias("length"))
+    return _event(first)
+
+
+def _event(first: DataFrame) -> DataFrame:
+    """The first sure event unless an undecided one comes before it; the window's length without any."""
     unresolved = F.col("open").isNotNull() & (F.col("good").isNull() | (F.col("open") < F.col("good")))
     value = F.when(~unresolved, F.coalesce(F.col("good"), F.col("length")).cast("double"))
     return first.select("site_id", "season_year", value.alias("value"), F.when(value.isNotNull(), F.col("good").isNotNull().cast("double")).alias("event_observed"))
@@ -160,15 +178,51 @@ def cessation_by_balance(obs: DataFrame, years: tuple[int, int], *, search: tupl
     return done.select("site_id", "season_year", value.alias("value"), F.when(value.isNotNull(), (F.col("r.found") >= 0).cast("double")).alias("event_observed"))
 
 
-def cessation_by_rain(obs: DataFrame, years: tuple[int, int], *, search: tuple[str, str] = ("09-01", "11-30"), dry_days: int = 20, wet: float = WET) -> DataFrame:
-    """First day of the search that ``dry_days`` fully observed dry days follow."""
+def cessation_by_rain(obs: DataFrame, years: tuple[int, int], *, search: tuple[str, str] = ("09-01", "11-30"), dry_days: int = 20) -> DataFrame:
+    """First day of the search after which ``dry_days`` fully observed days bring no rain at all."""
     rows = windows(obs, years, *search, after=dry_days)
     ahead = Window.partitionBy("site_id", "season_year").orderBy("day").rowsBetween(1, dry_days)
-    rows = rows.withColumns({"dry": F.count_if(F.col("PRCP") < wet).over(ahead), "wets": F.count_if(F.col("PRCP") >= wet).over(ahead)})
-    first = rows.where("inside").groupBy("site_id", "season_year").agg(F.min(F.when(F.col("dry") == dry_days, F.col("day"))).alias("good"), F.min(F.when((F.col("wets") == 0) & (F.col("dry") < dry_days), F.col("day"))).alias("open"), F.max("length").alias("length"))
-    unresolved = F.col("open").isNotNull() & (F.col("good").isNull() | (F.col("open") < F.col("good")))
-    value = F.when(~unresolved, F.coalesce(F.col("good"), F.col("length")).cast("double"))
-    return first.select("site_id", "season_year", value.alias("value"), F.when(value.isNotNull(), F.col("good").isNotNull().cast("double")).alias("event_observed"))
+    rows = rows.withColumns({"seen": F.count("PRCP").over(ahead), "rains": F.count_if(F.col("PRCP") > 0).over(ahead)})
+    none = F.col("rains") == 0
+    first = rows.where("inside").groupBy("site_id", "season_year").agg(F.min(F.when(none & (F.col("seen") == dry_days), F.col("day"))).alias("good"), F.min(F.when(none & (F.col("seen") < dry_days), F.col("day"))).alias("open"), F.max("length").alias("length"))
+    return _event(first)
+
+
+def dry_spell_after_onset(obs: DataFrame, years: tuple[int, int], *, length_days: int = 50, search: tuple[str, str] = ("05-01", "09-30"), wet: float = WET, **rule) -> DataFrame:
+    """Longest dry run in the ``length_days`` days from the onset on; ``length_days`` without onset, null where the onset
+    is unknown or a day is missing."""
+    found = onset(obs, years, search=search, wet=wet, **rule)
+    after = max(length_days - 1, rule.get("check", 30), rule.get("days", 3) - 1)
+    rows = windows(obs, years, *search, after=after).join(found, ["site_id", "season_year"])
+    rows = rows.where((F.col("event_observed") == 1) & (F.col("day") >= F.col("value")) & (F.col("day") < F.col("value") + length_days))
+    known = rows.groupBy("site_id", "season_year").agg(F.count("PRCP").alias("known"), F.count(F.lit(1)).alias("n"))
+    longest = dry_runs(rows, wet=wet).groupBy("site_id", "season_year").agg(F.max("length").alias("longest"))
+    out = found.join(known, ["site_id", "season_year"], "left").join(longest, ["site_id", "season_year"], "left")
+    value = F.when(F.col("event_observed") == 0, F.lit(float(length_days))).when(F.col("known") == F.col("n"), F.coalesce("longest", F.lit(0)).cast("double"))
+    return out.select("site_id", "season_year", value.alias("value"), F.when(value.isNotNull(), F.col("event_observed")).alias("event_observed"))
+
+
+def seasonal_total(obs: DataFrame, years: tuple[int, int], *, window: tuple[str, str] = ("07-01", "09-30")) -> DataFrame:
+    """(site_id, season_year, value, event_observed): the rain of a window, null unless every day has a value."""
+    rows = windows(obs, years, *window).where("inside").groupBy("site_id", "season_year").agg(F.count("PRCP").alias("known"), F.max("length").alias("length"), F.sum("PRCP").alias("rain"))
+    value = F.when(F.col("known") == F.col("length"), F.col("rain"))
+    return rows.select("site_id", "season_year", value.alias("value"), F.when(value.isNotNull(), 1.0).alias("event_observed"))
+
+
+#: Attributes of a season by name, all with the columns site_id, season_year, value, event_observed.
+ATTRIBUTES = {"total": seasonal_total, "onset": onset, "cessation": cessation_by_balance, "cessation_rain": cessation_by_rain}
+
+
+def compute_attributes(obs: DataFrame, years: tuple[int, int], asked: dict[str, tuple[str, dict]]) -> DataFrame:
+    """(site_id, season_year, name, value, event_observed) of several attributes: name to (kind, parameters)."""
+    out = None
+    for name, (kind, options) in asked.items():
+        rows = (ATTRIBUTES | {"dry_spell": max_dry_spell, "dry_spell_after_onset": dry_spell_after_onset})[kind](obs, years, **options)
+        rows = rows.select("site_id", "season_year", F.lit(name).alias("name"), "value", "event_observed")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no attribute is asked for")
+    return out
 
 
 def max_dry_spell(obs: DataFrame, years: tuple[int, int], *, window: tuple[str, str] = ("07-01", "09-30"), wet: float = WET) -> DataFrame:

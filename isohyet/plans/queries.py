@@ -19,6 +19,7 @@ from ..operators import sequences as q
 from ..operators import simulate
 from ..operators import verification as v
 from ..sources import panel as p
+from ..sources.store import stored
 
 MONTHS, YEARS, N_DAYS = (7, 8, 9), (1995, 2001), 92
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,11 +53,16 @@ def rain(spark, sf_dir):
 
 
 def cube(spark, sf_dir):
-    return s.seasonal_cube(rain(spark, sf_dir), MONTHS, YEARS)
+    """The seasons' rain: the calendar comes from what is asked for, so the items' dates are filtered in the scan."""
+    span = (f"{YEARS[0]}-07-01", f"{YEARS[1]}-09-30")
+    dates = s.complete_seasons(p.record(spark, sf_dir), MONTHS, YEARS)
+    rows = p.observations(spark, sf_dir, dates.select("t"), span).select("t", "site_id", "PRCP")
+    return rows.join(F.broadcast(dates), "t")  # one row a date
 
 
 def totals(spark, sf_dir):
-    return s.totals(cube(spark, sf_dir), N_DAYS)
+    """One narrow row a site and season; written once, because categories and limits both need them."""
+    return stored(s.totals(cube(spark, sf_dir), N_DAYS), "totals")
 
 
 def forecast(spark, sf_dir):
@@ -70,7 +76,12 @@ def classes(spark, sf_dir):
 
 
 def weights(spark, sf_dir):
-    return c.year_weights(classes(spark, sf_dir), forecast(spark, sf_dir))
+    return stored(c.year_weights(classes(spark, sf_dir), forecast(spark, sf_dir)), "weights")
+
+
+def sites(spark, sf_dir):
+    k = F.col("s_nationkey")
+    return p.table(spark, sf_dir, "supplier").select(k.alias("site_id"), F.expr("s_nationkey div 5").alias("y"), (k % 5).alias("x")).distinct()
 
 
 def members(spark, sf_dir):
@@ -181,13 +192,16 @@ def _(spark, d):
     return s.max_dry_spell(rain(spark, d), YEARS)
 
 
+#: Written from the rule: a day is an onset if it and the next two bring 20 mm, one of them wet, and no 8 dry days in a row
+#: lie in the 30 days that follow it.
 ONSET = sql("""
-, w AS (SELECT site_id, year(t) AS season_year, date_diff('day', make_date(year(t), 5, 1), t) AS day, p FROM obs WHERE t >= make_date(year(t), 5, 1) AND t < make_date(year(t), 5, 1) + 186 AND year(t) BETWEEN 1995 AND 2000),
-f AS (SELECT *, sum(p) OVER n AS rain, count(*) FILTER (WHERE p >= 1) OVER n AS wets, count(*) FILTER (WHERE p < 1) OVER (PARTITION BY site_id, season_year ORDER BY day ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS dry FROM w
-      WINDOW n AS (PARTITION BY site_id, season_year ORDER BY day ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
-g AS (SELECT *, max((dry = 8)::INT) OVER (PARTITION BY site_id, season_year ORDER BY day ROWS BETWEEN 10 FOLLOWING AND 32 FOLLOWING) AS broken FROM f)
-SELECT site_id, season_year::INT AS season_year, coalesce(min(day) FILTER (WHERE day < 153 AND rain >= 20 AND wets >= 1 AND broken = 0), 153)::DOUBLE AS value,
-  (count(*) FILTER (WHERE day < 153 AND rain >= 20 AND wets >= 1 AND broken = 0) > 0)::INT::DOUBLE AS event_observed FROM g GROUP BY ALL""")
+, w AS (SELECT site_id, year(t) AS season_year, date_diff('day', make_date(year(t), 5, 1), t) AS day, p FROM obs WHERE month(t) >= 5 AND year(t) BETWEEN 1995 AND 2000),
+r AS (SELECT a.site_id, a.season_year, a.day, sum(b.p) AS rain, max(b.p) AS most FROM w a JOIN w b ON b.site_id = a.site_id AND b.season_year = a.season_year AND b.day BETWEEN a.day AND a.day + 2 WHERE a.day < 153 GROUP BY ALL),
+dd AS (SELECT site_id, season_year, day, day - row_number() OVER (PARTITION BY site_id, season_year ORDER BY day) AS g FROM w WHERE p < 1),
+sp AS (SELECT site_id, season_year, min(day) AS lo, max(day) AS hi FROM dd GROUP BY site_id, season_year, g),
+good AS (SELECT r.* FROM r WHERE rain >= 20 AND most >= 1 AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.site_id = r.site_id AND sp.season_year = r.season_year AND least(sp.hi, r.day + 30) - greatest(sp.lo, r.day + 1) + 1 > 7)),
+k AS (SELECT DISTINCT site_id, season_year FROM w)
+SELECT k.site_id, k.season_year::INT AS season_year, coalesce(min(day), 153)::DOUBLE AS value, (count(day) > 0)::INT::DOUBLE AS event_observed FROM k LEFT JOIN good USING (site_id, season_year) GROUP BY ALL""")
 
 
 @query("w_onset", ONSET)
@@ -201,10 +215,12 @@ def _(spark, d):
     return s.onset(rain(spark, d), YEARS)
 
 
+#: Written from the rule: the first day of the search that 20 days without any rain follow.
 CESSATION = sql("""
-, w AS (SELECT site_id, year(t) AS season_year, date_diff('day', make_date(year(t), 9, 1), t) AS day, p FROM obs WHERE t >= make_date(year(t), 9, 1) AND t < make_date(year(t), 9, 1) + 111 AND year(t) BETWEEN 1995 AND 2000),
-f AS (SELECT *, count(*) FILTER (WHERE p < 1) OVER (PARTITION BY site_id, season_year ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING) AS dry FROM w)
-SELECT site_id, season_year::INT AS season_year, coalesce(min(day) FILTER (WHERE day < 91 AND dry = 20), 91)::DOUBLE AS value, (count(*) FILTER (WHERE day < 91 AND dry = 20) > 0)::INT::DOUBLE AS event_observed FROM f GROUP BY ALL""")
+, w AS (SELECT site_id, year(t) AS season_year, date_diff('day', make_date(year(t), 9, 1), t) AS day, p FROM obs WHERE month(t) >= 9 AND year(t) BETWEEN 1995 AND 2000),
+c AS (SELECT a.site_id, a.season_year, a.day FROM w a JOIN w b ON b.site_id = a.site_id AND b.season_year = a.season_year AND b.day BETWEEN a.day + 1 AND a.day + 20 WHERE a.day < 91 GROUP BY ALL HAVING sum(b.p) = 0),
+k AS (SELECT DISTINCT site_id, season_year FROM w)
+SELECT k.site_id, k.season_year::INT AS season_year, coalesce(min(day), 91)::DOUBLE AS value, (count(day) > 0)::INT::DOUBLE AS event_observed FROM k LEFT JOIN c USING (site_id, season_year) GROUP BY ALL""")
 
 
 @query("w_cessation_rain", CESSATION)
@@ -212,7 +228,15 @@ def _(spark, d):
     return s.cessation_by_rain(rain(spark, d), (1995, 2000))
 
 
-@query("w_cessation_balance")
+#: The bucket as a recursion over the days from 1 May on.
+BALANCE = "WITH RECURSIVE " + PANEL + """
+, w AS (SELECT site_id, year(t) AS season_year, date_diff('day', make_date(year(t), 5, 1), t) AS day, p FROM obs WHERE month(t) BETWEEN 5 AND 11 AND year(t) BETWEEN 1995 AND 2000),
+b AS (SELECT site_id, season_year, 0::BIGINT AS day, greatest(0, least(70, p - 5)) AS soil FROM w WHERE day = 0
+      UNION ALL SELECT b.site_id, b.season_year, w.day, greatest(0, least(70, soil + p - 5)) FROM b JOIN w ON w.site_id = b.site_id AND w.season_year = b.season_year AND w.day = b.day + 1)
+SELECT site_id, season_year::INT AS season_year, coalesce(min(day) FILTER (WHERE day >= 123 AND soil <= 0) - 123, 91)::DOUBLE AS value, (count(*) FILTER (WHERE day >= 123 AND soil <= 0) > 0)::INT::DOUBLE AS event_observed FROM b GROUP BY ALL"""
+
+
+@query("w_cessation_balance", BALANCE)
 def _(spark, d):
     return s.cessation_by_balance(rain(spark, d), (1995, 2000))
 
@@ -262,16 +286,72 @@ def _(spark, d):
     return c.weighted_quantile(totals(spark, d), weights(spark, d).select("site_id", "season_year", "w"), 0.45)
 
 
-@query("w_normal_scores")
+def _quantile_sql(p: str) -> str:
+    """Quantile of the standard normal: the same published rational approximation, as text."""
+    poly = lambda c, x: "(" * (len(c) - 1) + repr(c[0]) + "::DOUBLE" + "".join(f" * {x} + {k!r}::DOUBLE)" for k in c[1:])
+    tail = lambda q: f"({poly(scalar.ACKLAM_C, q)} / ({poly(scalar.ACKLAM_D, q)} * {q} + 1))"
+    r = f"(({p}) - 0.5)"
+    middle = f"({poly(scalar.ACKLAM_A, f'({r} * {r})')} * {r} / ({poly(scalar.ACKLAM_B, f'({r} * {r})')} * {r} * {r} + 1))"
+    return f"(CASE WHEN ({p}) < 0.02425 THEN {tail(f'sqrt(-2 * ln({p}))')} WHEN ({p}) > 0.97575 THEN -{tail(f'sqrt(-2 * ln(1 - ({p})))')} ELSE {middle} END)"
+
+
+SCORES = ", sc AS (SELECT a.site_id, a.season_year, (count(*) FILTER (WHERE b.total < a.total) + count(*) FILTER (WHERE b.total = a.total) / 2.0::DOUBLE + 0.5) / (count(*) + 1.0::DOUBLE) AS pr FROM totals a JOIN totals b ON b.site_id = a.site_id AND b.season_year BETWEEN 1995 AND 2000 GROUP BY ALL), zs AS (SELECT site_id, season_year, " + _quantile_sql("pr") + " AS z FROM sc)"
+TAILS = ", tn AS (SELECT " + _quantile_sql("0.2::DOUBLE") + " AS a, " + _quantile_sql("0.5::DOUBLE") + " AS b), nf AS (SELECT -0.430727299295457::DOUBLE - a * 2 * 0.430727299295457::DOUBLE / (b - a) AS mu, 2 * 0.430727299295457::DOUBLE / (b - a) AS sigma FROM tn)"
+
+
+@query("w_normal_scores", sql(SCORES + " SELECT site_id, season_year::INT AS season_year, round(z, 6) AS z FROM zs"))
+def _(spark, d):
+    return c.normal_scores(totals(spark, d), (1995, 2000))
+
+
+@query("w_normal_scores_gamma")
 def _(spark, d):
-    return c.normal_scores(totals(spark, d))
+    return c.normal_scores(totals(spark, d), (1995, 2000), "gamma")
 
 
-@query("w_tercile_normal")
+@query("w_tercile_normal", sql(TAILS + " SELECT site_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma FROM sites, nf"))
 def _(spark, d):
     return c.tercile_normal(forecast(spark, d))
 
 
+RATIO = SCORES + TAILS + """, q0 AS (SELECT site_id, season_year, cat, w, flags, z * z / 2 - power((z - mu) / sigma, 2) / 2 AS lq FROM weights JOIN zs USING (site_id, season_year), nf),
+q1 AS (SELECT *, exp(lq - max(lq) OVER (PARTITION BY site_id)) AS q FROM q0),
+q2 AS (SELECT *, q * sum(w) OVER (PARTITION BY site_id, cat) / sum(q) OVER (PARTITION BY site_id, cat) AS s FROM q1)"""
+
+
+@query("w_density_ratio_weights", sql(RATIO + " SELECT site_id, season_year::INT AS season_year, cat, round(s / sum(s) OVER (PARTITION BY site_id), 6) AS w, flags FROM q2"))
+def _(spark, d):
+    return c.tercile_pdf_ratio_weights(c.normal_scores(totals(spark, d), (1995, 2000)), classes(spark, d), forecast(spark, d))
+
+
+@query("w_pdf_ratio", sql(SCORES + TAILS + ", r AS (SELECT site_id, season_year, z * z / 2 - power((z - mu) / sigma, 2) / 2 AS l FROM zs, nf) SELECT site_id, season_year::INT AS season_year, round(exp(l) / sum(exp(l)) OVER (PARTITION BY site_id), 6) AS w FROM r"))
+def _(spark, d):
+    z = c.normal_scores(totals(spark, d), (1995, 2000)).join(c.tercile_normal(forecast(spark, d)), "site_id")
+    rows = z.select("site_id", "season_year", F.col("z").alias("value"), (-F.pow((F.col("z") - F.col("mu")) / F.col("sigma"), 2.0) / 2).alias("log_f"), (-F.col("z") * F.col("z") / 2).alias("log_c"))
+    return c.pdf_ratio_weights(rows).select("site_id", "season_year", "w")
+
+
+CLASS = """, x AS (SELECT site_id, season_year, cat, w, k AS class, count(*) FILTER (WHERE cat = k) OVER s AS n, sum(CASE WHEN cat = k THEN w ELSE 0 END) OVER s AS mass, sum(w) OVER s AS every FROM weights, unnest(range(3)) AS r(k) WINDOW s AS (PARTITION BY site_id, k))
+SELECT site_id, class::INT AS class, season_year::INT AS season_year, round(CASE WHEN n = 0 THEN w / every WHEN cat <> class THEN 0 WHEN mass > 0 THEN w / mass ELSE 1.0::DOUBLE / n END, 6) AS w, n = 0 AS empty FROM x"""
+
+
+@query("w_class_weights", sql(CLASS))
+def _(spark, d):
+    return c.class_weights(weights(spark, d))
+
+
+@query("w_gamma_classes")
+def _(spark, d):
+    t = totals(spark, d)
+    return c.classify_seasons(t, c.gamma_limits(t, climatology=(1995, 2000)))
+
+
+@query("w_normal_classes", sql(", m AS (SELECT site_id, avg(total - 300) AS m, stddev_samp(total - 300) AS s FROM totals WHERE season_year <= 2000 GROUP BY site_id) SELECT site_id, season_year::INT AS season_year, round(total - 300, 6) AS total, CASE WHEN total - 300 <= m - 0.430727299295457::DOUBLE * s THEN 0 WHEN total - 300 <= m + 0.430727299295457::DOUBLE * s THEN 1 ELSE 2 END AS cat FROM totals JOIN m USING (site_id)"))
+def _(spark, d):
+    """Signed values: totals less 300."""
+    return c.classify_values(totals(spark, d).withColumn("total", F.col("total") - 300), method="normal", climatology=(1995, 2000))
+
+
 RANKS = """WITH i AS (SELECT n_nationkey AS season_year, n_regionkey * 1.0::DOUBLE AS value FROM nation), r AS (SELECT *, abs(value - 1.5) AS dist, row_number() OVER (ORDER BY abs(value - 1.5), season_year) AS i, count(*) OVER () AS n FROM i),
 m AS (SELECT *, least(i / n::DOUBLE, 1) - least((i - 1) / n::DOUBLE, 1) AS mass FROM r), a AS (SELECT season_year, avg(mass) OVER (PARTITION BY dist) AS w FROM m) SELECT season_year, round(w / sum(w) OVER (), 6) AS w FROM a"""
 
@@ -356,10 +436,16 @@ def _(spark, d):
     return c.crps(e, o, SEASONS, fair=True)
 
 
-@query("w_rank_histogram", sql(", e AS (SELECT site_id, season_year, m.total * 7 AS v, t.total AS o FROM members m JOIN totals t USING (site_id, season_year)), r AS (SELECT count(*) FILTER (WHERE v < o) AS b, count(*) FILTER (WHERE v = o) AS q FROM e GROUP BY site_id, season_year) SELECT b + j AS rank, round(sum(1.0::DOUBLE / (q + 1)), 6) AS share FROM (SELECT b, q, unnest(range(q + 1)) AS j FROM r) GROUP BY ALL"))
+RANK = """, e AS (SELECT site_id, season_year, m.total * 7 AS v, t.total AS o FROM members m JOIN totals t USING (site_id, season_year)),
+r AS (SELECT count(*) FILTER (WHERE v < o) AS b, count(*) FILTER (WHERE v = o) AS q FROM e GROUP BY site_id, season_year HAVING count(*) = 7),
+x AS (SELECT b + j AS rank, sum(1.0::DOUBLE / (q + 1)) AS share FROM r, unnest(range(q + 1)) AS t(j) GROUP BY 1)
+SELECT k::INT AS rank, round(coalesce(share, 0), 6) AS share FROM unnest(range(8)) AS t(k) LEFT JOIN x ON rank = k"""
+
+
+@query("w_rank_histogram", sql(RANK))
 def _(spark, d):
     e, o = paired(spark, d)
-    return c.rank_histogram(e, o, SEASONS)
+    return c.rank_histogram(e, o, SEASONS, 7)
 
 
 FREQUENCIES = """, f AS (SELECT site_id, m.season_year, CASE WHEN m.total * 7 <= q33 THEN 0 WHEN m.total * 7 <= q67 THEN 1 ELSE 2 END AS cat FROM members m JOIN limits USING (site_id))"""
@@ -391,9 +477,14 @@ def _(spark, d):
     return c.reliability(probabilities(spark, d))
 
 
-@query("w_brier_decomposition", sql(PROBS + ", g2 AS (SELECT prob, count(*) AS n, avg(outcome) AS o FROM f GROUP BY prob), a AS (SELECT avg(outcome) AS base, count(*) AS total FROM f) SELECT round(sum(n / total * power(prob - o, 2)), 6) AS reliability, round(sum(n / total * power(o - base, 2)), 6) AS resolution, round(max(base * (1 - base)), 6) AS uncertainty FROM g2, a"))
+BRIER = PROBS + """, g2 AS (SELECT prob, count(*) AS n, avg(outcome) AS o FROM f GROUP BY prob), a AS (SELECT avg(outcome) AS base, count(*) AS total, avg((prob - outcome) * (prob - outcome)) AS score FROM f),
+r AS (SELECT sum(n / total * power(prob - o, 2)) AS rel, sum(n / total * power(o - base, 2)) AS res FROM g2, a)
+SELECT round(score, 6) AS score, round(rel, 6) AS reliability, round(res, 6) AS resolution, round(base * (1 - base), 6) AS uncertainty, round(score - (rel - res + base * (1 - base)), 6) + 0 AS binning_residual, total AS count FROM r, a"""
+
+
+@query("w_brier_decomposition", sql(BRIER))
 def _(spark, d):
-    return c.brier_decomposition(probabilities(spark, d))
+    return c.brier_decomposition(probabilities(spark, d)).withColumn("binning_residual", F.round("binning_residual", 6) + 0.0)
 
 
 @query("w_wilson", sql(", k AS (SELECT site_id, count(*) FILTER (WHERE p >= 1) AS n_wet, count(*) AS n FROM cube GROUP BY site_id), z AS (SELECT *, n_wet / n::DOUBLE AS s, 3.841458820694124::DOUBLE AS z2 FROM k) SELECT site_id, n_wet, n, round(greatest(0, (s + z2 / (2 * n) - sqrt(z2) * sqrt(s * (1 - s) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 6) AS low, round(least(1, (s + z2 / (2 * n) + sqrt(z2) * sqrt(s * (1 - s) / n + z2 / (4 * n * n))) / (1 + z2 / n)), 6) AS high FROM z"))
@@ -411,14 +502,34 @@ def _(spark, d):
     return c.markov_fit(cube(spark, d))
 
 
-@query("w_gamma_fit", sql(", g AS (SELECT site_id, month, avg(p - 1) AS mean, ln(avg(p - 1)) - avg(ln(p - 1)) AS a, count(*) AS n FROM cube WHERE p > 1 GROUP BY ALL), h AS (SELECT *, CASE WHEN n >= 3 AND a > 0 THEN (1 + sqrt(1 + 4 * a / 3)) / (4 * a) END AS k FROM g) SELECT site_id, month::INT AS month, round(k, 6) AS shape, round(mean / k, 6) AS scale FROM h"))
+#: Newton's method on the likelihood's equation, as a recursion; digamma by its recurrence and series, trigamma as a difference quotient.
+GAMMA = """WITH RECURSIVE """ + PANEL + """
+, g AS (SELECT site_id, month, avg(p - 1) AS mean, ln(avg(p - 1)) - avg(ln(p - 1)) AS a, count(*) AS n FROM cube WHERE p > 1 GROUP BY ALL),
+k AS (SELECT site_id, month, mean, a, 0 AS i, CASE WHEN a > 5e-7 THEN (3 - a + sqrt((a - 3) * (a - 3) + 24 * a)) / (12 * a) END AS k FROM g
+      UNION ALL SELECT site_id, month, mean, a, i + 1, k - (f - a) / ((f2 - f) / (k * 1e-6)) FROM (
+        SELECT *, DG(k) AS f, DG(k * (1 + 1e-6)) AS f2 FROM k WHERE i < 12))
+SELECT m.site_id, m.month::INT AS month, round(CASE WHEN mean IS NULL THEN 1 WHEN a > 5e-7 THEN k ELSE 1e6 END, 6) AS shape, round(CASE WHEN mean IS NULL THEN 1 WHEN a > 5e-7 THEN mean / k ELSE mean / 1e6 END, 6) AS scale,
+  (CASE WHEN mean IS NULL THEN 2 WHEN a > 5e-7 THEN 0 ELSE 1 END)::INT AS status FROM (SELECT DISTINCT site_id, month FROM cube) m LEFT JOIN (SELECT * FROM k WHERE i = 12) USING (site_id, month)"""
+
+
+def _digamma_sql(x: str) -> str:
+    """ln x - digamma(x)"""
+    y = f"({x} + 10)"
+    series = f"ln{y} - 0.5 / {y} - 1 / (12 * pow({y}, 2)) + 1 / (120 * pow({y}, 4)) - 1 / (252 * pow({y}, 6))"
+    return f"(ln({x}) - ({series} - (" + " + ".join(f"1 / ({x} + {i})" for i in range(10)) + ")))"
+
+
+GAMMA = GAMMA.replace("DG(k * (1 + 1e-6))", _digamma_sql("(k * 1.000001::DOUBLE)")).replace("DG(k)", _digamma_sql("k"))
+
+
+@query("w_gamma_fit", GAMMA)
 def _(spark, d):
     return c.gamma_fit(cube(spark, d))
 
 
-@query("w_site_distances", "WITH a AS (SELECT DISTINCT s_nationkey AS k, s_nationkey // 5 AS y, s_nationkey % 5 AS x FROM supplier) SELECT p.k AS a, q.k AS b, round(2 * 6371.0088::DOUBLE * asin(sqrt(power(sin(radians(q.y - p.y) / 2), 2) + cos(radians(p.y)) * cos(radians(q.y)) * power(sin(radians(q.x - p.x) / 2), 2))), 6) AS km FROM a p JOIN a q ON p.k < q.k")
+@query("w_site_distances", "WITH a AS (SELECT DISTINCT s_nationkey AS k, radians(s_nationkey // 5) AS y, radians(s_nationkey % 5) AS x FROM supplier) SELECT p.k AS a, q.k AS b, round(6371.0088::DOUBLE * sqrt(2 - 2 * (sin(p.y) * sin(q.y) + cos(p.y) * cos(q.y) * cos(p.x - q.x))), 5) AS km FROM a p JOIN a q ON p.k < q.k")
 def _(spark, d):
-    return c.site_distances(p.table(spark, d, "supplier").select(F.col("s_nationkey").alias("site_id"), F.expr("s_nationkey div 5").alias("y"), (F.col("s_nationkey") % 5).alias("x")).distinct())
+    return c.site_distances(sites(spark, d)).withColumn("km", F.round("km", 5))
 
 
 # --- states, runs and sums along a season ----------------------------------------------------------------------

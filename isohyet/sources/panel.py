@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The names of the daily variables.
 VARIABLES = ("PRCP", "TMIN", "TMAX", "HUMIN", "HUMAX", "WIND", "SOLAR")
 #: Names that forecasts use for the three categories.
 CATEGORY_NAMES = {
@@ -18,24 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def supplied_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items with their day and their supplier's nation as site; only the columns that are used are read."""
-    items = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.to_date("l_shipdate").alias("t"))
+def supplied_days(spark: SparkSession, sf_dir: str, span: tuple[str, str] | None = None) -> DataFrame:
+    """Line items with their day and their supplier's nation as site; only the columns that are used are read, and with
+    ``span`` (first day, last day) only row groups that can hold such days."""
+    items = table(spark, sf_dir, "lineitem")
+    if span is not None:
+        after = (datetime.date.fromisoformat(span[1]) + datetime.timedelta(1)).isoformat()
+        items = items.where((F.col("l_shipdate") >= F.lit(span[0]).cast("timestamp")) & (F.col("l_shipdate") < F.lit(after).cast("timestamp")))
+    items = items.select("l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.to_date("l_shipdate").alias("t"))
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("site_id"))
     return items.join(suppliers, items["l_suppkey"] == suppliers["s_suppkey"])
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(t, site_id, y, x, variables): one row for each day of the record and site; days without items are dry."""
-    rows = supplied_days(spark, sf_dir)
+def record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t): the days of the record, from the first item's to the last's."""
+    span = table(spark, sf_dir, "lineitem").agg(F.to_date(F.min("l_shipdate")).alias("d0"), F.to_date(F.max("l_shipdate")).alias("d1"))
+    return span.select(F.explode(F.sequence("d0", "d1")).alias("t"))
+
+
+def observations(spark: SparkSession, sf_dir: str, days: DataFrame | None = None, span: tuple[str, str] | None = None) -> DataFrame:
+    """(t, site_id, y, x, variables): one row for each day of the record and site; days without items are dry.
+
+    ``days`` (t) and the ``span`` that holds them ask for some days only, and the scan reads no others.
+    """
+    rows = supplied_days(spark, sf_dir, span)
     daily = rows.groupBy("site_id", "t").agg(
         F.sum("l_quantity").alias("PRCP"), (F.min("l_extendedprice") / 1000).alias("TMIN"), (F.max("l_extendedprice") / 1000).alias("TMAX"),
         (F.min("l_discount") * 1000).alias("HUMIN"), (F.max("l_discount") * 1000).alias("HUMAX"), (F.avg("l_tax") * 100).alias("WIND"), (F.avg("l_extendedprice") / 2000).alias("SOLAR"),
     )
-    span = table(spark, sf_dir, "lineitem").agg(F.min(F.to_date("l_shipdate")).alias("d0"), F.max(F.to_date("l_shipdate")).alias("d1"))
-    days = span.select(F.explode(F.sequence("d0", "d1")).alias("t"))
+    days = record(spark, sf_dir) if days is None else days
     sites = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("site_id")).distinct()
-    grid = sites.crossJoin(days)  # the record's calendar for each site, which the panel consists of
+    grid = sites.crossJoin(F.broadcast(days))  # a calendar for each site, which the panel consists of
     out = grid.join(daily, ["site_id", "t"], "left").withColumn("PRCP", F.coalesce("PRCP", F.lit(0.0)))
     return out.select("t", "site_id", F.expr("site_id div 5").alias("y"), (F.col("site_id") % 5).alias("x"), *VARIABLES)
 
