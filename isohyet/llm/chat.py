@@ -125,19 +125,21 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _chain_levels(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """What ``levels`` returns if a call has one need at most: the calls' distances from the ends of their chains."""
-    every = calls.select("conv_id", "call_id").join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    every = scratch.write(calls.select("conv_id", "call_id").join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "ends")
     waiting = scratch.write(edges.select("conv_id", "call_id", F.col("need").alias("up"), F.lit(1).alias("far")), "chains-0")
     step = 0
     while waiting.limit(1).count():
         step += 1
-        above = waiting.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
-        ahead = scratch.write(waiting.join(above, ["conv_id", "up"], "left"), f"ahead-{step}")
-        settled = ahead.where("next IS NULL").select("conv_id", "call_id", F.col("far").alias("level"))
-        if not settled.limit(1).count():
+        known = every.select("conv_id", F.col("call_id").alias("up"), F.col("level").alias("above"))
+        new = scratch.write(waiting.join(known, ["conv_id", "up"]).select("conv_id", "call_id", (F.col("far") + F.col("above")).alias("level")), f"settled-{step}")
+        if not new.limit(1).count():
             break  # what is left runs into cycles
-        every = every.unionByName(settled)
-        # The ends of chains stay in place for those that look up to them.
-        waiting = scratch.write(ahead.where("next IS NOT NULL").select("conv_id", "call_id", F.col("next").alias("up"), (F.col("far") + F.col("more")).alias("far")), f"chains-{step}")
+        every = every.unionByName(new)
+        left = waiting.join(new.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
+        # A call that looks up to one that is settled waits for it; the others look as far again.
+        ahead = left.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("far").alias("more"))
+        waiting = left.join(ahead, ["conv_id", "up"], "left").select("conv_id", "call_id", F.coalesce("next", "up").alias("up"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"))
+        waiting = scratch.write(waiting, f"chains-{step}")
     return every
 
 

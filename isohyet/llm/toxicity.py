@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ._common import Scratch, slices, small
 from .bpe import Remembered, as_texts
 
-ORDER = 5
+ORDER = 4
 DISCOUNT = 0.75
 #: A model of more letter sequences is never collected or broadcast, but joined.
 MAX_GRAMS = 400_000

@@ -376,3 +376,44 @@ def test_language(spark):
     assert got[900].lang_pred == got[901].lang_pred == "und" and got[902].lang_pred == "de"
     assert {r.lang_pred for r in langid.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert langid.language_id(docs.limit(0)).count() == 0
+
+
+def test_registered_chat_query_against_a_plain_version(spark):
+    from isohyet.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    talks = collections.defaultdict(dict)
+    for r in spark.read.parquet(f"{sf}/conversations.parquet").collect():
+        talks[r.conv_id].setdefault(r.turn, []).append(r)
+    want = collections.Counter()
+    for conv, turns in talks.items():
+        users = {t for t, rows in turns.items() if any(r.role == "user" for r in rows)}
+        # Kahn's algorithm: a call is settled once the call it needs is.
+        needs = {t: [t - 2] if t - 2 in users else [] for t in users}
+        level, waiting = {}, set(users)
+        while waiting:
+            ready = {t for t in waiting if all(n in level for n in needs[t])}
+            level |= {t: max([level[n] + 1 for n in needs[t]], default=0) for t in ready}
+            waiting -= ready
+        for t, rows in turns.items():
+            for r in rows:
+                body, status, place, lev, after, ok = {"role": r.role, "content": r.text}, "message", t, 0, False, None
+                if r.role == "user":
+                    answered = any(x.role == "assistant" for x in turns.get(t + 1, []))
+                    args = {"to": r.text or "", "turn": str(t)}
+                    body |= {"content": None, "tool_call": {"id": f"c{t}", "name": "reply", "arguments": args}}
+                    status, lev, ok = "linked" if answered else "unanswered", level[t], 1 <= len(args["to"]) <= 350
+                elif r.role == "assistant":
+                    body["tool_call_id"] = f"c{t - 1}"
+                    status, lev, place, after = ("linked", level[t - 1], t - 1, True) if t - 1 in users else ("orphan", 0, t, False)
+                want[conv, t, r.role, lev, place, after, status, ok, json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)] += 1
+    got = collections.Counter((r.conv_id, r.turn, r.role, r.level, r.place_turn, r.after_call, r.status, r.args_valid, r.json) for r in queries.op5_chat_format(spark, sf).collect())
+    assert got == want
+    assert max(k[3] for k in want) >= 2 and any(k[7] is False for k in want)  # levels and refusals do occur
+
+
+def test_long_chains_and_cycles(spark):
+    rows = [("a", f"k{i}", [f"k{i - 1}"] if i else []) for i in range(70)] + [("b", "x", ["y"]), ("b", "y", ["x"]), ("b", "z", ["x"]), ("b", "w", ["gone"])]
+    calls = spark.createDataFrame(rows, "conv_id string, call_id string, needs array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in chat.levels(calls, Scratch(spark, "levels")).collect()}
+    assert got == {("a", f"k{i}"): i for i in range(70)} | {("b", "w"): 0}
