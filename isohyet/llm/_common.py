@@ -100,6 +100,18 @@ def without_white_space(text: Column) -> Column:
     return F.translate(text, WS_CHARS, "")
 
 
+_owner: list[str] = [""]
+_kept: dict = {}
+
+
+def worker_memory(owner: str) -> dict:
+    """What a worker keeps between batches of one operator; the memory of the operator before it goes."""
+    if _owner[0] != owner:
+        _kept.clear()
+        _owner[0] = owner
+    return _kept
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -12,7 +12,6 @@ gives an empty result; other columns of the input are not read.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import json
@@ -24,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import slices
+from ._common import slices, worker_memory
 
 NEVER = 2**62
 #: Stands for the end-of-word mark inside proposals; no byte maps to it.
@@ -32,7 +31,7 @@ END = ""
 #: Chunks of text (between ASCII white space) whose result a worker remembers, in each of two generations.
 REMEMBERED = 200_000
 #: The same for words, to their ids.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 60_000
 TEXTS_AT_ONCE = 256
 
 
@@ -250,9 +249,11 @@ class WordBpe:
         return " ".join([self.token[i] for i in ids])
 
 
-@functools.lru_cache(2)
 def load(path: str) -> WordBpe:
-    return WordBpe(path)
+    memory = worker_memory("bpe")
+    if path not in memory:
+        memory[path] = WordBpe(path)
+    return memory[path]
 
 
 def chunks_of(text: bytes) -> list[bytes]:
@@ -284,13 +285,10 @@ def as_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-_remembered: dict[str, Remembered] = {}
-
-
 def encode_batch(path: str, texts: list[bytes]) -> Iterator[tuple[int, str, str]]:
     """For each text: number of ids, the ids in decimal joined by one space, the decoded text."""
     bpe = load(path)
-    memory = _remembered.setdefault(path, Remembered(REMEMBERED))
+    memory = worker_memory("bpe").setdefault(("chunks", path), Remembered(REMEMBERED))
     cut = [chunks_of(t) for t in texts]
     if new := memory.missing(cut):
         memory.update(zip(new, bpe.encode_chunks([c.decode() for c in new]), strict=True))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import slices, worker_memory
 from .bpe import Remembered, as_texts
 from .near_dedup import mix
 from .toxicity import remainder, word_of
@@ -183,9 +183,6 @@ class Words:
         return total[:, :-2] / n * 100.0 + w[-1], total[:, -1] > 0
 
 
-_words: dict[str, Words] = {}
-
-
 def language_id(docs: DataFrame, *, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1)."""
     spark = docs.sparkSession
@@ -214,9 +211,10 @@ def language_id(docs: DataFrame, *, folds: int = 5, held_out: int = 0, id_col: s
     key = f"{spark.sparkContext.applicationId}-{model.id if hasattr(model, 'id') else id(model)}-{np.abs(model.value.weights).sum()}"
 
     def predict(batches):
-        if key not in _words:
-            _words[key] = Words(model.value)
-        words = _words[key]
+        memory = worker_memory("language")
+        if key not in memory:
+            memory[key] = Words(model.value)
+        words = memory[key]
         for batch in batches:
             for i, j in slices(batch.num_rows, 256):
                 part = batch.slice(i, j - i)

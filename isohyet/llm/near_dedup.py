@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch
+from ._common import Scratch, worker_memory
 from .bpe import as_texts
 
 WORDS = 5
@@ -80,13 +80,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-_powers: dict[int, np.ndarray] = {}
-
-
 def power_table(base: int, n: int) -> np.ndarray:
-    if base not in _powers or len(_powers[base]) < n:
-        _powers[base] = powers(base, max(n, 2 * AT_ONCE))
-    return _powers[base][:n]
+    known = worker_memory("shingles")
+    if base not in known or len(known[base]) < n:
+        known[base] = powers(base, max(n, 2 * AT_ONCE))
+    return known[base][:n]
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

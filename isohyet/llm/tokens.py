@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WS_CLASS, Scratch, path_exists, slices
+from ._common import WS_CLASS, Scratch, path_exists, slices, worker_memory
 from .bpe import Remembered, as_texts, chunks_of
 
 #: Chunks whose count a worker remembers, in each of two generations.
@@ -58,7 +58,6 @@ def content_digest(text: Column, collapse: bool) -> Column:
 
 
 _libraries: dict[str, object] = {}
-_counters: dict[str, ChunkCounter] = {}
 
 
 def library(path: str):
@@ -141,9 +140,10 @@ class ChunkCounter:
 
 def count_batch(path: str, texts: list[bytes], by_chunk: bool) -> list[int]:
     if by_chunk:
-        if path not in _counters:
-            _counters[path] = ChunkCounter(path)
-        return _counters[path].count(texts)
+        memory = worker_memory("tokens")
+        if path not in memory:
+            memory[path] = ChunkCounter(path)
+        return memory[path].count(texts)
     tokenizer = library(path)
     whole = [t.decode() for t in texts]
     if path.endswith(".model"):

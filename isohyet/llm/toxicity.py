@@ -23,7 +23,6 @@ only id and text, and of the labels only id and label are read.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -33,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, slices, small
+from ._common import Scratch, slices, small, worker_memory
 from .bpe import Remembered, as_texts
 
 ORDER = 4
@@ -42,7 +41,7 @@ DISCOUNT = 0.75
 MAX_GRAMS = 400_000
 MAX_FIT = 20_000
 #: Words whose evidence a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Letters that every word counts more in the mean, so that short words are weak evidence.
 EXTRA = 3
 N_FEATURES = 4
@@ -137,14 +136,15 @@ def features(model: Model, memory: Remembered, texts: list[bytes]) -> np.ndarray
     evidence of all words that have more than CLEAR, on a log scale."""
     cut = [t.lower().split() for t in texts]
     for c in memory.missing(cut):
-        total, n = model.evidence(word_of(c))
-        memory[c] = (total / (n + EXTRA), total, n)
+        memory[c] = complex(*model.evidence(word_of(c)))  # the smallest object that holds two numbers
     out = np.zeros((len(texts), N_FEATURES))
     for i, x in enumerate(cut):
         if x:
-            found = list(map(memory.__getitem__, x))
-            best = heapq.nlargest(3, [f[0] for f in found])
-            out[i] = best[0], sum(best) / 3, sum([f[1] for f in found]) / sum([f[2] for f in found]), math.log1p(sum([f[1] - CLEAR for f in found if f[1] > CLEAR]))
+            found = np.array(list(map(memory.__getitem__, x)))
+            total, n = found.real, found.imag
+            share = total / (n + EXTRA)
+            best = np.sort(np.partition(share, len(share) - 3)[-3:] if len(share) > 3 else share)
+            out[i] = best[-1], best.sum() / 3, total.sum() / n.sum(), math.log1p(float(np.maximum(total - CLEAR, 0.0).sum()))
     return out
 
 
@@ -242,14 +242,12 @@ def _text_words(batches):
                 yield pa.RecordBatch.from_arrays([pa.array([digest] * len(part), pa.binary()), pa.array([w for w, _ in part], pa.string()), pa.array([n for _, n in part], pa.int32())], ["digest", "word", "times"])
 
 
-_memory: dict[str, Remembered] = {}
-
-
 def _remembered(key: str) -> Remembered:
     """A worker's words under one model; those of an earlier model go."""
-    if key not in _memory:
-        _memory.clear()
-    return _memory.setdefault(key, Remembered(REMEMBERED))
+    memory = worker_memory("toxicity")
+    if key not in memory:
+        memory.clear()
+    return memory.setdefault(key, Remembered(REMEMBERED))
 
 
 def _count_words(batches):
