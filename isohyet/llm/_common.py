@@ -100,6 +100,18 @@ def without_white_space(text: Column) -> Column:
     return F.translate(text, WS_CHARS, "")
 
 
+#: Bytes of one Arrow batch between Spark and Python: rows are whole texts, and a batch is held on both sides.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most BATCH_BYTES, unless it has set less itself."""
+    size = spark.conf.get(BATCH_CONF, None)
+    if size is None or not size.isdigit() or int(size) <= 0 or int(size) > BATCH_BYTES:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 _owner: list[str] = [""]
 _kept: dict = {}
 

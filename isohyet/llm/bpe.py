@@ -23,13 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ._common import slices, worker_memory
+from ._common import bounded_batches, slices, worker_memory
 
 NEVER = 2**62
 #: Stands for the end-of-word mark inside proposals; no byte maps to it.
 END = ""
 #: Chunks of text (between ASCII white space) whose result a worker remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 #: The same for words, to their ids.
 REMEMBERED_WORDS = 60_000
 TEXTS_AT_ONCE = 256
@@ -303,6 +303,7 @@ def encode_batch(path: str, texts: list[bytes]) -> Iterator[tuple[int, str, str]
 def encode_documents(docs: DataFrame, path: str, *, full: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, and ids (array of int) and decoded (string), or with
     ``full=False`` their SHA-256 digests ids_sha256 and decoded_sha256 in place of the long values."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     ends = "ids array<int>, decoded string" if full else "ids_sha256 string, decoded_sha256 string"
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, worker_memory
+from ._common import bounded_batches, slices, worker_memory
 from .bpe import Remembered, as_texts
 from .near_dedup import mix
 from .toxicity import remainder, word_of
@@ -185,6 +185,7 @@ class Words:
 
 def language_id(docs: DataFrame, *, folds: int = 5, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score (0 to 1)."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     usable = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id"), folds) != held_out))

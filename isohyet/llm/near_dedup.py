@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Scratch, worker_memory
+from ._common import Scratch, bounded_batches, worker_memory
 from .bpe import as_texts
 
 WORDS = 5
@@ -331,6 +331,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 85, id_col: str = "doc_id", te
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near-dedup")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     rows = scratch.write(texts.mapInArrow(_described, "doc_id bigint, n_shingles bigint, one bigint, two bigint, bands array<bigint>"), "rows")

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WS_CLASS, Scratch, path_exists, slices, worker_memory
+from ._common import WS_CLASS, Scratch, bounded_batches, path_exists, slices, worker_memory
 from .bpe import Remembered, as_texts, chunks_of
 
 #: Chunks whose count a worker remembers, in each of two generations.
@@ -158,6 +158,7 @@ def count_tokens(docs: DataFrame, path: str, *, cache: str | None = None, limit:
     this run's distinct misses.  Without it the run has a cache of its own in
     the shared folder.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     scratch = Scratch(spark, "token-counts")
     cache = cache or f"{scratch.base}/cache"

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Scratch, slices, small, worker_memory
+from ._common import Scratch, bounded_batches, slices, small, worker_memory
 from .bpe import Remembered, as_texts
 
 ORDER = 4
@@ -371,6 +371,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, fold
 
     With ``keep`` the columns of ``docs`` come back instead, without the rows that are predicted toxic.
     """
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     model, weights, share = train(docs, labels, scratch, folds=folds, held_out=held_out, id_col=id_col, text_col=text_col)
     flags = lambda: ((remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
