@@ -101,7 +101,7 @@ def without_white_space(text: Column) -> Column:
 
 
 #: Bytes of one Arrow batch between Spark and Python: rows are whole texts, and a batch is held on both sides.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

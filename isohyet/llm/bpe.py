@@ -29,9 +29,9 @@ NEVER = 2**62
 #: Stands for the end-of-word mark inside proposals; no byte maps to it.
 END = ""
 #: Chunks of text (between ASCII white space) whose result a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: The same for words, to their ids.
-REMEMBERED_WORDS = 60_000
+REMEMBERED_WORDS = 50_000
 TEXTS_AT_ONCE = 256
 
 

@@ -49,7 +49,7 @@ WORDS = 5
 BANDS, ROWS = 32, 6
 BINS = BANDS * ROWS
 #: Bytes of text that are hashed at once.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 #: Bits of the filter of bucket members, at most; it has 16 for each member below that.
 FILTER_BITS = 1 << 27
 U = np.uint64

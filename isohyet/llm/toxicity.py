@@ -41,7 +41,7 @@ DISCOUNT = 0.75
 MAX_GRAMS = 400_000
 MAX_FIT = 20_000
 #: Words whose evidence a worker remembers, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: Letters that every word counts more in the mean, so that short words are weak evidence.
 EXTRA = 3
 N_FEATURES = 4
