@@ -702,7 +702,7 @@ def _(spark, d):
 @query("w_kernel_correlation", "WITH a AS (SELECT n_nationkey AS k, n_nationkey * 50.0::DOUBLE AS km FROM nation) SELECT k, round(exp(-km / 300), 6) AS exponential, round(power(1 + km / 300, -1.5::DOUBLE), 6) AS heavy FROM a")
 def _(spark, d):
     km = F.col("n_nationkey") * 50.0
-    return p.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), c.kernel_correlation(km, "exponential", 300.0).alias("exponential"), c.kernel_correlation(km, "heavy", 300.0, 1.5).alias("heavy"))
+    return p.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), c.kernel_correlation(km, "exponential", 300.0).alias("exponential"), c.kernel_correlation(km, "power", 300.0, 1.5).alias("heavy"))
 
 
 @query("w_brier_fair", sql(FOLDS + ", f AS (SELECT site_id, season_year, avg((total > hi)::INT) AS f, count(*) AS n FROM ta JOIN lim USING (site_id) GROUP BY ALL) SELECT site_id, season_year::INT AS season_year, round(power(f - (cat = 2)::INT, 2), 6) AS brier, CASE WHEN n > 1 THEN round(power(f - (cat = 2)::INT, 2) - f * (1 - f) / nullif(n - 1, 0), 6) END AS fair FROM f JOIN classes USING (site_id, season_year)"))
