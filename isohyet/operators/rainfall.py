@@ -30,7 +30,7 @@ def with_weights(cube: DataFrame, weights: DataFrame | None) -> DataFrame:
     """The cube with a weight w for each site and season, 1 without weights, 0 where a season has none."""
     if weights is None:
         return cube.withColumn("w", F.lit(1.0))
-    return cube.join(F.broadcast(weights.select("site_id", "season_year", "w")), ["site_id", "season_year"], "left").fillna(0.0, ["w"])  # one narrow row a site and year
+    return cube.join(weights.select("site_id", "season_year", "w"), ["site_id", "season_year"], "left").fillna(0.0, ["w"])
 
 
 def fit_chain(cube: DataFrame, weights: DataFrame | None = None, *, wet: float = 1.0, strict: bool = False, persistence: str = "climatology") -> DataFrame:

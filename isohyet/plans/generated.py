@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar
+from ..operators import companions as cp
 from ..operators import conditioning as c
 from ..operators import constraints as k
 from ..operators import dynamical as dy
@@ -14,11 +15,13 @@ from ..operators import hindcast as h
 from ..operators import rainfall as rf
 from ..operators import resampling as r
 from ..operators import season as s
+from ..operators import semiparametric as sp
 from ..sources import panel as p
 from ..sources.store import stored
 from .queries import MONTHS, N_DAYS, SEASONS, YEARS, cube, forecast, members, query, rain, sites, sql, totals, weights
 
 EVERY_YEAR = list(range(YEARS[0], YEARS[1] + 1))
+SEASON_MONTHS = [7] * 31 + [8] * 31 + [9] * 30
 
 
 def kept_cube(spark, d):
@@ -356,3 +359,103 @@ def _(spark, d):
 @query("w_dry_spell_after_onset")
 def _(spark, d):
     return s.dry_spell_after_onset(rain(spark, d), (1995, 2000))
+
+
+# --- rain in three states --------------------------------------------------------------------------------------
+
+THREE = """, d AS (SELECT c.site_id, c.season_year, c.day, c.month::INT AS month, p, w, lag(p) OVER x AS b, lag(c.month) OVER x AS mb FROM cube c JOIN weights v USING (site_id, season_year) WINDOW x AS (PARTITION BY c.site_id, c.season_year ORDER BY c.day)),
+k AS (SELECT *, sum(w) OVER (PARTITION BY site_id, month ORDER BY p, season_year, day ROWS UNBOUNDED PRECEDING) AS u, sum(w) OVER (PARTITION BY site_id, month) AS a FROM d WHERE w > 0 AND p > 20),
+cut AS (SELECT site_id, month, min(p) AS cutoff FROM k WHERE u >= 0.8::DOUBLE * a * (1 - 1e-12) GROUP BY ALL),
+z AS (SELECT d.*, cutoff, CASE WHEN p <= 20 THEN 0 WHEN cutoff IS NULL OR p < cutoff THEN 1 ELSE 2 END AS s, CASE WHEN mb IS NULL OR mb <> month THEN NULL WHEN b <= 20 THEN 0 WHEN cutoff IS NULL OR b < cutoff THEN 1 ELSE 2 END AS f FROM d LEFT JOIN cut USING (site_id, month) WHERE w > 0)"""
+SHARES = "".join(f", round(pi{i}, 6) AS pi{i}" for i in range(3)) + "".join(f", round(coalesce(t{i}{j}, pi{j}), 6) AS t{i}{j}" for i in range(3) for j in range(3)) + "".join(f", n{i}::BIGINT AS n{i}" for i in range(3))
+YEAR_ROWS = ", ".join(f"count(*) FILTER (WHERE s = {i}) / count(*) AS p{i}" for i in range(3)) + ", " + ", ".join(f"count(*) FILTER (WHERE f = {i}) AS f{i}" for i in range(3)) + ", " + ", ".join(f"count(*) FILTER (WHERE f = {i} AND s = {j}) / nullif(count(*) FILTER (WHERE f = {i}), 0) AS y{i}{j}" for i in range(3) for j in range(3))
+MEANS = ", ".join(f"sum(w * p{i}) / sum(w) AS pi{i}, sum(f{i}) AS n{i}" for i in range(3)) + ", " + ", ".join(f"sum(w * y{i}{j}) / sum(w) FILTER (WHERE f{i} > 0) AS t{i}{j}" for i in range(3) for j in range(3))
+
+
+def three_states(spark, d, **options):
+    return sp.fit_three_states(kept_cube(spark, d), weights(spark, d), wet=20.0, **options)
+
+
+@query("w_three_states", sql(THREE + f", y AS (SELECT site_id, season_year, month, max(w) AS w, max(cutoff) AS cutoff, {YEAR_ROWS} FROM z GROUP BY site_id, season_year, month), m AS (SELECT site_id, month, max(cutoff) AS cutoff, {MEANS} FROM y GROUP BY site_id, month) SELECT site_id, month, round(cutoff, 6) AS cutoff{SHARES} FROM m"))
+def _(spark, d):
+    return three_states(spark, d).select("site_id", "month", "cutoff", *[f"pi{i}" for i in sp.STATES], *[f"t{i}{j}" for i in sp.STATES for j in sp.STATES], *[f"n{i}" for i in sp.STATES])
+
+
+@query("w_three_state_kernels", sql(THREE + ", h AS (SELECT site_id, month, s, w / sum(w) OVER v AS q, p, sum(w * p) OVER v / sum(w) OVER v AS mean FROM z WHERE s > 0 WINDOW v AS (PARTITION BY site_id, month, s)), e AS (SELECT site_id, month, s, count(*)::INT AS days, 1 / sum(q * q) AS n_eff, sqrt(sum(q * power(p - mean, 2))) AS sd FROM h GROUP BY ALL) SELECT site_id, month, s AS state, days, round(n_eff, 6) AS n_eff, round(sd, 6) AS sd, round(CASE WHEN sd > 1e-10 THEN 1.06::DOUBLE * sd * power(n_eff, -0.2::DOUBLE) ELSE 0 END, 6) AS bandwidth FROM e"))
+def _(spark, d):
+    days = sp.weighted_days(kept_cube(spark, d), weights(spark, d))
+    rows = sp.with_states(days, sp.cutoffs(days, 20.0), 20.0)
+    return sp.fit_kernels(rows, 20.0).select("site_id", "month", "state", F.size("centres").alias("days"), "n_eff", "sd", "bandwidth")
+
+
+@query("w_three_state_rain")
+def _(spark, d):
+    params = stored(three_states(spark, d, bandwidth="resampled", start="stationary"), "three-states")
+    return sp.simulate_three_states(params, sites(spark, d), SEASON_MONTHS, 5, wet=20.0, seed=7)
+
+
+# --- companions of rain ----------------------------------------------------------------------------------------
+
+def companion_rows(spark, d, weighted=True):
+    span = (f"{YEARS[0]}-07-01", f"{YEARS[1]}-09-30")
+    dates = s.complete_seasons(p.record(spark, d), MONTHS, YEARS)
+    panel = p.canonicalize(p.observations(spark, d, dates.select("t"), span)).join(F.broadcast(dates), "t")  # one row a date
+    return stored(cp.latent_panel(panel, cp.VARIABLES, weights(spark, d) if weighted else None), "companions")
+
+
+def least_squares(source: str, keys: str) -> str:
+    """SQL of the weighted parabola through (t, y, w) by keys, as its three coefficients by Cramer's rule."""
+    sums = ", ".join(f"sum(w * t ** {i}) AS s{i}" for i in range(5)) + ", " + ", ".join(f"sum(w * y * t ** {i}) AS r{i}" for i in range(3))
+    det = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+    base = ["s0", "s1", "s2", "s1", "s2", "s3", "s2", "s3", "s4"]
+    of = lambda k: det([f"r{i // 3}" if i % 3 == k else b for i, b in enumerate(base)])
+    return f"SELECT {keys}, {of(0)} / {det(base)} AS c0, {of(1)} / {det(base)} AS c1, {of(2)} / {det(base)} AS c2 FROM (SELECT {keys}, {sums} FROM {source} GROUP BY {keys})"
+
+
+CURVES = f""", full_obs AS (SELECT o.site_id, year(o.t) AS season_year, date_diff('day', make_date(year(o.t), 7, 1), o.t)::INT AS day, (o.p >= 1)::INT AS own, w, CASE WHEN tn <= tx THEN tn END AS tn, CASE WHEN tn <= tx THEN tx END AS tx, CASE WHEN hn <= hx OR hn IS NULL OR hx IS NULL THEN hn END AS hn, CASE WHEN hn <= hx OR hn IS NULL OR hx IS NULL THEN hx END AS hx, wi, so FROM obs o JOIN weights v ON v.site_id = o.site_id AND v.season_year = year(o.t) WHERE month(o.t) IN (7, 8, 9) AND w > 0),
+lv AS (SELECT site_id, day, own, w, unnest(['TMIN', 'TMAX', 'HUMIN', 'HUMAX', 'WIND', 'SOLAR']) AS variable, unnest([tn, tx, ln(greatest(1e-4, least(1 - 1e-4, hn / 100)) / (1 - greatest(1e-4, least(1 - 1e-4, hn / 100)))), ln(greatest(1e-4, least(1 - 1e-4, hx / 100)) / (1 - greatest(1e-4, least(1 - 1e-4, hx / 100)))), ln(1 + wi), ln(1 + so)]) AS y FROM full_obs),
+st AS (SELECT unnest([0, 1]) AS state),
+nn AS (SELECT site_id, variable, state, count(*) FILTER (WHERE own = state) < 6 AS pooled FROM lv, st WHERE y IS NOT NULL GROUP BY ALL),
+us AS (SELECT lv.site_id, lv.variable, state, pooled, day, w, y, day * 2 / 91.0::DOUBLE - 1 AS t FROM lv JOIN nn USING (site_id, variable) WHERE y IS NOT NULL AND (own = state OR pooled)),
+mc AS ({least_squares("us", "site_id, variable, state")}),
+dv AS (SELECT site_id, variable, state, pooled, day, t, sum(w) AS w, sum(w * power(y - c0 - c1 * t - c2 * t * t, 2)) AS s2 FROM us JOIN mc USING (site_id, variable, state) GROUP BY ALL),
+lg AS (SELECT site_id, variable, state, t, w, ln(s2 / w) AS y FROM dv WHERE s2 > 0),
+vc AS ({least_squares("lg", "site_id, variable, state")}),
+sc AS (SELECT site_id, variable, state, any_value(pooled) AS pooled, sum(s2) / sum(w * exp(c0 + c1 * t + c2 * t * t)) AS scale FROM dv JOIN vc USING (site_id, variable, state) GROUP BY site_id, variable, state)
+SELECT m.site_id, m.variable, m.state, g.day::INT AS day, round(m.c0 + m.c1 * t + m.c2 * t * t, 4) AS mean, round(sqrt(scale * exp(v.c0 + v.c1 * t + v.c2 * t * t)), 4) AS sd, pooled
+FROM mc m JOIN vc v USING (site_id, variable, state) JOIN sc USING (site_id, variable, state), (SELECT unnest(range(92)) AS day, unnest(range(92)) * 2 / 91.0::DOUBLE - 1 AS t) g"""
+
+
+@query("w_companion_curves", sql(CURVES))
+def _(spark, d):
+    found = cp.fit_curves(companion_rows(spark, d), N_DAYS)
+    return found.select("site_id", "variable", "state", "day", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"), "pooled")
+
+
+def companion_fit(spark, d):
+    """(curves under the forecast, dependence of the whole record, residuals)."""
+    rows = companion_rows(spark, d)
+    plain = rows.withColumn("w", F.lit(1.0))
+    left = stored(cp.residuals(plain, cp.fit_curves(plain, N_DAYS)), "residuals")
+    return cp.fit_curves(rows, N_DAYS), stored(cp.fit_dependence(left, cp.VARIABLES, MONTHS), "dependence"), left
+
+
+@query("w_companion_dependence")
+def _(spark, d):
+    found = companion_fit(spark, d)[1]
+    at = lambda name: F.posexplode(F.flatten(name))
+    return found.select("site_id", "month", "source", "pairs", at("transition").alias("entry", "value"))
+
+
+@query("w_companion_innovations")
+def _(spark, d):
+    _, dependence, left = companion_fit(spark, d)
+    return cp.innovations(left, dependence)
+
+
+@query("w_companions")
+def _(spark, d):
+    curves, dependence, _ = companion_fit(spark, d)
+    made = rf.simulate(rf.fit_rainfall(kept_cube(spark, d), weights(spark, d)), sites(spark, d), SEASON_MONTHS, 5, seed=7)
+    latent = cp.simulate_latent(dependence, sites(spark, d), SEASON_MONTHS, 5, seed=7)
+    return cp.simulate_companions(latent, curves, made, cp.VARIABLES)
