@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import season as s
 from .operators.constraints import SeasonalConstraint
+from .operators.companions import UNITS, VARIABLES
 from .operators.fields import Field
 from .operators.generators import PRESETS, WeatherGenerator, preset
 from .sources import files
@@ -47,7 +48,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     obs = files.require_grid(files.open_observations(spark, pairs(a.observations), units=pairs(a.units), assume_units=a.assume_units))
     sites = obs.select("site_id", "y", "x").distinct()
     prob = files.onto_grid(files.load_probabilities(spark, a.forecast), sites, ["pb", "pn", "pa"]).select("site_id", "pb", "pn", "pa")
-    cube = s.seasonal_cube(obs.select("t", "site_id", "PRCP"), months, years)
+    others = tuple(v for v in VARIABLES if v in obs.columns)
+    cube = s.seasonal_cube(obs.select("t", "site_id", "PRCP", *others), months, years)
     constraints, attributes = [], None
     for text in a.constraint:
         name, path, tolerance = files.parse_constraint(text)
@@ -55,16 +57,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         constraints.append(SeasonalConstraint(name, own, tolerance))
     if constraints:
         attributes = s.compute_attributes(obs, years, {k.name: (k.name, {}) for k in constraints})
-    options = {"months": months, "climatology": years, "seed": a.seed, "spatial": Field(range_km=a.range_km) if a.range_km else None}
+    options = {"months": months, "climatology": years, "seed": a.seed, "spatial": Field(range_km=a.range_km) if a.range_km else None, "companions": others}
     if a.preset:
         generator = preset(a.preset, **options)
     else:
         weighting = "mre" if constraints and a.weighting == "terciles" else a.weighting
         generator = WeatherGenerator(**options, weighting=weighting, conditioning=a.conditioning, occurrence=a.occurrence, constraints=tuple(constraints))
     generator = generator.fit(cube, prob, sites, attributes=attributes)
-    out = generator.generate(a.year, a.members).join(F.broadcast(sites), "site_id").select("member", "t", "site_id", "y", "x", "PRCP", "tercile_class")  # one narrow row a site
+    out = generator.generate(a.year, a.members).join(sites, "site_id").select("member", "t", "site_id", "y", "x", "PRCP", "tercile_class", *others)
     if a.output.endswith(".nc"):
-        files.save_netcdf(out, a.output, attrs={"seed": a.seed, "year": a.year})
+        files.save_netcdf(out, a.output, others={v: UNITS[v] for v in others}, attrs={"seed": a.seed, "year": a.year})
     else:
         out.write.mode("overwrite").parquet(a.output)
     if a.diagnostics:

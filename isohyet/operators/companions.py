@@ -18,7 +18,9 @@ from ..functions.special import safe_cholesky
 from . import fields
 from .rainfall import is_wet, with_weights
 
-VARIABLES = ("TMIN", "TMAX", "HUMIN", "HUMAX", "WIND", "SOLAR")
+#: The variables in order, and their units.
+UNITS = {"TMIN": "degC", "TMAX": "degC", "HUMIN": "%", "HUMAX": "%", "WIND": "m s-1", "SOLAR": "MJ m-2 d-1"}
+VARIABLES = tuple(UNITS)
 PAIRS = (("TMIN", "TMAX"), ("HUMIN", "HUMAX"))
 LEAST = 6
 RIDGE, RADIUS, SHRINK = 0.01, 0.98, 0.02

@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from ..functions.scalar import normal_cdf, uniform
 from ..sources.store import stored
 from . import conditioning as c
+from . import companions as cp
 from . import constraints as k
 from . import fields, rainfall
 from . import resampling as r
 from . import season as s
+from . import semiparametric as sp
 
 EVERY = [0, 1, 2]
 
@@ -59,6 +61,11 @@ class WeatherGenerator:
     tercile and uses the parameters of that class, pulled to the mean by
     ``shrinkage`` (``moments``: so far that the classes' spread and the chain's
     own make up the observed variance of totals).
+
+    ``three_states`` (options of ``semiparametric.fit_three_states``) replaces
+    chain and amounts by three states with smoothed amounts.  ``companions``
+    names other variables of the cube: their curves follow the same weights,
+    their dependence is the whole record's.
     """
 
     months: tuple[int, ...] = (7, 8, 9)
@@ -82,6 +89,9 @@ class WeatherGenerator:
     spatial: fields.Field | dict | None = None
     constraints: tuple = ()
     total_tolerance: float = 0.01
+    three_states: dict | None = None
+    companions: tuple[str, ...] = ()
+    pairs: str = "sort"
     seed: int = 42
     train_years: tuple[int, ...] | None = None
     fitted: dict = field(default_factory=dict, compare=False)
@@ -94,17 +104,32 @@ class WeatherGenerator:
             raise ValueError("a chain with run lengths is not started anew each month")
         if self.class_draw == "fitted" and self.spatial is None:
             raise ValueError("classes from a field need one")
+        if self.three_states is not None and (self.occurrence == "spell" or self.traces or self.conditioning == "mixture" and self.shrinkage == "moments"):
+            raise ValueError("three states have neither run lengths nor traces, and no moments to shrink classes by")
+        if set(self.companions) - set(cp.VARIABLES) or self.pairs not in ("sort", "none", "error"):
+            raise ValueError(f"companions are among {cp.VARIABLES}; pairs is sort, none or error")
 
     def _options(self) -> dict:
         return {"wet": self.wet, "strict": self.strict, "persistence": self.persistence, "amounts": self.amounts, "basis": self.basis}
 
     def _fit(self, cube: DataFrame, weights: DataFrame, alphas: DataFrame | None) -> DataFrame:
+        if self.three_states is not None:
+            return sp.fit_three_states(cube, weights, wet=self.wet, **self.three_states)
         return rainfall.fit_rainfall(cube, weights, alphas=alphas, **self._options())
 
+    def _fit_companions(self, cube: DataFrame, weights: DataFrame) -> dict:
+        """Curves of the companions under the weights, and their dependence over the whole record."""
+        n_days = s.season_length(self.months)
+        plain = stored(cp.latent_panel(cube, self.companions, None, wet=self.wet, strict=self.strict), "generator-companions")
+        left = cp.residuals(plain, stored(cp.fit_curves(plain, n_days), "generator-climate-curves"))
+        found = {"dependence": stored(cp.fit_dependence(left, self.companions, list(self.months)), "generator-dependence")}
+        weighted = plain.drop("w").join(weights.select("site_id", "season_year", "w"), ["site_id", "season_year"])
+        return found | {"curves": stored(cp.fit_curves(weighted, n_days), "generator-curves")}
+
     def fit(self, cube: DataFrame, prob: DataFrame, sites: DataFrame, *, attributes: DataFrame | None = None, prior: DataFrame | None = None) -> WeatherGenerator:
         """The generator with ``fitted``: weights, limits, params, spells and, for a mixture, the classes' parameters.
 
-        cube: (site_id, season_year, day, month, PRCP) of complete calendars; prob: (site_id, pb, pn, pa).
+        cube: (site_id, season_year, day, month, PRCP and companions) of complete calendars; prob: (site_id, pb, pn, pa).
         """
         if self.train_years is not None:
             cube = cube.where(F.col("season_year").isin(*self.train_years))
@@ -118,17 +143,25 @@ class WeatherGenerator:
             known = weights.select("site_id", "season_year", (F.col("cat") >= 0).cast("double").alias("w"))
             alphas = stored(rainfall.fit_mixed_exponential(cube, known, wet=self.wet, strict=self.strict, basis=self.basis).select("site_id", "month", "alpha"), "generator-alphas")
         found = {"weights": weights, "limits": limits, "params": stored(self._fit(cube, weights, alphas), "generator-params"), "prob": prob, "sites": sites, "totals": totals}
+        if self.companions:
+            found |= self._fit_companions(cube, weights)
         if self.occurrence == "spell":
             found["spells"] = stored(rainfall.fit_spells(cube, weights, wet=self.wet, strict=self.strict), "generator-spells")
         if self.conditioning == "mixture":
             own = stored(c.class_weights(weights), "generator-classes")
             kappa = self._kappa(cube, own, alphas, totals, prob)
+            if self.companions:
+                curves = [self._class_curves(cube, own.where(F.col("class") == i)).withColumn("class", F.lit(i)) for i in EVERY]
+                found["class_curves"] = stored(curves[0].unionByName(curves[1]).unionByName(curves[2]), "generator-class-curves")
             blend = own.join(weights.select("site_id", "season_year", F.col("w").alias("mean_w")), ["site_id", "season_year"]).join(kappa, "site_id")
             blend = blend.withColumn("w", (1 - F.col("kappa")) * F.col("mean_w") + F.col("kappa") * F.col("w"))
             params = [self._fit(cube, blend.where(F.col("class") == i), alphas).withColumn("class", F.lit(i)) for i in EVERY]
             found |= {"class_params": stored(params[0].unionByName(params[1]).unionByName(params[2]), "generator-class-params"), "kappa": kappa}
         return replace(self, fitted=found)
 
+    def _class_curves(self, cube: DataFrame, weights: DataFrame) -> DataFrame:
+        return cp.fit_curves(cp.latent_panel(cube, self.companions, weights, wet=self.wet, strict=self.strict), s.season_length(self.months))
+
     def _kappa(self, cube, own, alphas, totals, prob) -> DataFrame:
         """(site_id, kappa): how much of a class's own deviation stays in its members' parameters."""
         if self.shrinkage != "moments":
@@ -159,7 +192,7 @@ class WeatherGenerator:
         return rows.select("site_id", "member", F.when(F.col("u") <= pb, 0).when(F.col("u") <= pb + pn, 1).otherwise(2).alias("class"))
 
     def generate(self, year: int, members: int = 20, *, member_start: int = 0, allow_historical: bool = False) -> DataFrame:
-        """(site_id, member, t, PRCP, tercile_class) of the season that starts in ``year``."""
+        """(site_id, member, t, PRCP, tercile_class and companions) of the season that starts in ``year``."""
         if not self.fitted:
             raise RuntimeError("fit first")
         last = self.fitted["totals"].agg(F.max("season_year")).first()[0]
@@ -171,18 +204,28 @@ class WeatherGenerator:
         options = {"wet": self.wet, "strict": self.strict, "basis": self.basis, "reset": self.reset, "by_amount": self.by_amount, "traces": self.traces}
         classes = self.classes(members, member_start) if self.conditioning == "mixture" else None
         params = self.fitted["class_params"] if classes is not None else self.fitted["params"]
-        out = rainfall.simulate(params, self.fitted["sites"], calendar, members, seed=self.seed, member_start=member_start, field=self.spatial, spells=self.fitted.get("spells"), classes=classes, **options)
+        sites, common = self.fitted["sites"], {"seed": self.seed, "member_start": member_start, "field": self.spatial}
+        if self.three_states is not None:
+            out = sp.simulate_three_states(params, sites, calendar, members, classes=classes, wet=self.wet, reset=self.reset, by_amount=self.by_amount, **common)
+        else:
+            out = rainfall.simulate(params, sites, calendar, members, spells=self.fitted.get("spells"), classes=classes, **common, **options)
+        if self.companions:
+            out = stored(out, "generated-rain")
+            latent = cp.simulate_latent(self.fitted["dependence"], sites, calendar, members, **common)
+            curves = self.fitted["class_curves"] if classes is not None else self.fitted["curves"]
+            others = cp.simulate_companions(latent, curves, out, self.companions, wet=self.wet, strict=self.strict, pairs=self.pairs, classes=classes)
+            out = out.join(others.drop("crossed"), ["site_id", "member", "day"], "left")
         out = out.join(F.broadcast(dates.select("day", "t")), "day")  # a season's days
         if classes is None:
-            return out.select("site_id", "member", "t", "PRCP", F.lit(None).cast("int").alias("tercile_class"))
-        return out.join(classes, ["site_id", "member"]).select("site_id", "member", "t", "PRCP", F.col("class").alias("tercile_class"))
+            return out.select("site_id", "member", "t", "PRCP", F.lit(None).cast("int").alias("tercile_class"), *self.companions)
+        return out.join(classes, ["site_id", "member"]).select("site_id", "member", "t", "PRCP", F.col("class").alias("tercile_class"), *self.companions)
 
     def diagnostics(self) -> dict:
         """What the fit came to, as plain values."""
         w, p = self.fitted["weights"], self.fitted["params"]
         flags = {str(x["flags"]): x["n"] for x in w.select("site_id", "flags").distinct().groupBy("flags").agg(F.count(F.lit(1)).alias("n")).collect()}
         implied = w.where("cat >= 0").groupBy("cat").agg((F.sum("w") / F.lit(max(1, w.select("site_id").distinct().count()))).alias("p")).collect()
-        status = {str(x["status"]): x["n"] for x in p.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
+        status = {str(x["status"]): x["n"] for x in p.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()} if "status" in p.columns else {}
         return {"months": list(self.months), "climatology": self.climatology, "weighting": self.weighting, "conditioning": self.conditioning, "amounts": self.amounts, "occurrence": self.occurrence, "seed": self.seed, "weight_flags": flags, "implied_probability": {str(x["cat"]): x["p"] for x in implied}, "gamma_status": status}
 
     def diagnostics_json(self) -> str:
@@ -194,6 +237,7 @@ class WeatherGenerator:
 PRESETS = {
     "monthly_gamma": {"wet": 0.1, "strict": True, "basis": "raw", "persistence": "yearly", "reset": True, "by_amount": True, "amounts": "gamma", "terciles": "hazen"},
     "monthly_mixed": {"wet": 0.1, "strict": True, "basis": "raw", "persistence": "yearly", "reset": True, "by_amount": True, "amounts": "mixed_exponential", "hold_alpha": False, "terciles": "hazen"},
+    "three_states": {"wet": 0.1, "strict": True, "reset": True, "three_states": {}, "terciles": "hazen"},
     "fixed_mixing": {"wet": 1.0, "persistence": "climatology", "amounts": "mixed_exponential", "hold_alpha": True},
 }
 

@@ -232,6 +232,20 @@ def _(spark, d):
     return generated(spark, d, occurrence="spell", weighting="pdf_ratio")
 
 
+@query("w_generator_three_states")
+def _(spark, d):
+    return generated(spark, d, wet=20.0, strict=True, reset=True, three_states={"bandwidth": "resampled"})
+
+
+@query("w_generator_companions")
+def _(spark, d):
+    span = (f"{YEARS[0]}-07-01", f"{YEARS[1]}-09-30")
+    dates = s.complete_seasons(p.record(spark, d), MONTHS, YEARS)
+    panel = p.canonicalize(p.observations(spark, d, dates.select("t"), span)).join(F.broadcast(dates), "t")  # one row a date
+    made = g.WeatherGenerator(months=MONTHS, climatology=YEARS, conditioning="mixture", companions=cp.VARIABLES).fit(stored(panel, "panel"), forecast(spark, d), sites(spark, d))
+    return made.generate(2002, 3)
+
+
 @query("w_field")
 def _(spark, d):
     return fl.sample(fl.Field("power", 200.0, 1.5, 64), sites(spark, d), 5, 10)

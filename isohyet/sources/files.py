@@ -154,23 +154,26 @@ def onto_grid(values: DataFrame, targets: DataFrame, columns: list[str], most: i
     return out.join(cells, ["y_source", "x_source"], "left").select(*targets.columns, *columns)
 
 
-def save_netcdf(ensemble: DataFrame, path: str, *, value: str = "PRCP", units: str = "mm d-1", attrs: dict | None = None, most: int = 50_000_000) -> None:
-    """Write (member, t, y, x, value) as one classic NetCDF file, single precision, days since 1970; at most ``most`` rows.
+def save_netcdf(ensemble: DataFrame, path: str, *, value: str = "PRCP", units: str = "mm d-1", others: dict[str, str] | None = None, attrs: dict | None = None, most: int = 50_000_000) -> None:
+    """Write (member, t, y, x, value and ``others`` with their units) as one classic NetCDF file, single precision, days
+    since 1970; at most ``most`` rows.
 
     Larger ensembles are written as Parquet, or season by season.
     """
-    rows = ensemble.select("member", "t", "y", "x", F.col(value).cast("float").alias("v"))
+    fields = {value: units} | (others or {})
+    rows = ensemble.select("member", "t", "y", "x", *[F.col(v).cast("float").alias(v) for v in fields])
     if rows.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rows in one file; write seasons or members apart")
     got = rows.toPandas()
     axes = {k: np.unique(got[k].to_numpy()) for k in ("member", "t", "y", "x")}
     place = [np.searchsorted(axes[k], got[k].to_numpy()) for k in axes]
-    grid = np.full([len(a) for a in axes.values()], np.nan, np.float32)
-    grid[tuple(place)] = got["v"].to_numpy(np.float32)
     time = np.array([(d - EPOCH).days for d in axes["t"]], np.int32)
     variables = {"member": netcdf.Variable(("member",), axes["member"].astype(np.int32)), "t": netcdf.Variable(("t",), time, {"units": "days since 1970-01-01"})}
     variables |= {k: netcdf.Variable((k,), axes[k].astype(float)) for k in ("y", "x")}
-    variables[value] = netcdf.Variable(tuple(axes), grid, {"units": units, "_FillValue": float("nan")})
+    for name, unit in fields.items():
+        grid = np.full([len(a) for a in axes.values()], np.nan, np.float32)
+        grid[tuple(place)] = got[name].to_numpy(np.float32)
+        variables[name] = netcdf.Variable(tuple(axes), grid, {"units": unit, "_FillValue": float("nan")})
     with open(path, "wb") as f:
         f.write(netcdf.build(netcdf.Dataset({k: len(a) for k, a in axes.items()}, variables, attrs or {})))
 

@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from isohyet import cli
 from isohyet.sources import files, netcdf
 
@@ -57,6 +59,22 @@ def test_files_to_ensemble(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3 * 92 * 4
 
 
+def test_command_line_with_companions(spark, tmp_path):
+    obs = files.smoke_panel(spark, (2001, 2006))
+    place = ["t", obs["y"].alias("lat"), obs["x"].alias("lon")]
+    obs.select(*place, "PRCP").write.parquet(f"{tmp_path}/rain")
+    obs.select(*place, (10 - obs["PRCP"] / 10 + F.dayofmonth("t") / 10).alias("TMIN")).write.parquet(f"{tmp_path}/tmin")
+    obs.select(*place, (22 - obs["PRCP"] / 10 + F.dayofweek("t")).alias("TMAX")).write.parquet(f"{tmp_path}/tmax")
+    pd.DataFrame([(y, x, c, v) for y in (10.0, 11.0) for x in (2.0, 3.0) for c, v in (("below", 20), ("normal", 30), ("above", 50))], columns=["Y", "X", "category", "value"]).to_csv(f"{tmp_path}/terciles.csv", index=False)
+    args = ["--observations", f"PRCP={tmp_path}/rain", f"TMIN={tmp_path}/tmin", f"TMAX={tmp_path}/tmax", "--forecast", f"{tmp_path}/terciles.csv", "--years", "2001,2006", "--year", "2007", "--members", "2", "--assume-units", "--preset", "three_states"]
+    cli.main([*args, "--output", f"{tmp_path}/out.nc", "--diagnostics", f"{tmp_path}/model"], spark)
+    low, high = (files.read_netcdf(spark, f"{tmp_path}/out.nc", v).toPandas() for v in ("TMIN", "TMAX"))
+    both = low.merge(high, on=["member", "t", "y", "x"])
+    assert len(both) == 2 * 92 * 4 and (both.value_x <= both.value_y).all() and 8 < both.value_x.mean() < 14
+    again = files.load_model(spark, f"{tmp_path}/model").generate(2007, 2)
+    assert sorted(round(r.TMIN, 3) for r in again.collect()) == pytest.approx(sorted(low.value.round(3)), abs=2e-3)
+
+
 def test_nearest_cells(spark):
     source = spark.createDataFrame([(0.0, 0.0, 1), (0.0, 1.0, 2), (2.0, 0.0, 3), (2.0, 1.0, 4)], "y double, x double, v int")
     target = spark.createDataFrame([(0.4, 0.9), (1.9, 0.1), (2.1, 0.0)], "y double, x double")
