@@ -12,6 +12,7 @@ from ..operators import dynamical as dy
 from ..operators import fields as fl
 from ..operators import generators as g
 from ..operators import hindcast as h
+from ..operators import linear_models as lm
 from ..operators import rainfall as rf
 from ..operators import resampling as r
 from ..operators import season as s
@@ -473,3 +474,45 @@ def _(spark, d):
     made = rf.simulate(rf.fit_rainfall(kept_cube(spark, d), weights(spark, d)), sites(spark, d), SEASON_MONTHS, 5, seed=7)
     latent = cp.simulate_latent(dependence, sites(spark, d), SEASON_MONTHS, 5, seed=7)
     return cp.simulate_companions(latent, curves, made, cp.VARIABLES)
+
+
+# --- linear models ---------------------------------------------------------------------------------------------
+
+
+def site_models(spark, d):
+    rows = kept_cube(spark, d)
+    scores = stored(c.normal_scores(totals(spark, d)), "scores")
+    return rows, scores, stored(lm.fit_models(rows, scores, wet=20.0), "models")
+
+
+@query("w_model_design", sql(", z AS (SELECT c.*, (p >= 20)::INT AS state FROM cube c) SELECT site_id, season_year::INT AS season_year, day::INT AS day, state, lag(state) OVER (PARTITION BY site_id, season_year ORDER BY day) AS lag, round(sin(2 * pi() * dayofyear(t) / 365.25::DOUBLE), 6) AS s1, round(cos(2 * pi() * dayofyear(t) / 365.25::DOUBLE), 6) AS c1 FROM z"))
+def _(spark, d):
+    rows = lm.design(kept_cube(spark, d), c.normal_scores(totals(spark, d)), 1, wet=20.0)
+    return rows.select("site_id", "season_year", F.col("day").cast("int").alias("day"), "state", "lag", F.col("h")[1].alias("s1"), F.col("h")[2].alias("c1"))
+
+
+@query("w_site_models")
+def _(spark, d):
+    return site_models(spark, d)[2].select("site_id", "model", "n", F.posexplode("coefficients").alias("at", "value"))
+
+
+@query("w_smoothed_models")
+def _(spark, d):
+    return lm.smooth_coefficients(site_models(spark, d)[2], sites(spark, d))
+
+
+@query("w_model_seasons")
+def _(spark, d):
+    _, _, fits = site_models(spark, d)
+    smooth = lm.with_smoothed(fits, lm.smooth_coefficients(fits, sites(spark, d)))
+    scores = lm.season_scores(forecast(spark, d), sites(spark, d), 10, field=fl.Field(features=64))
+    dates = s.season_calendar(spark, (2002, 2002), MONTHS).select("day", "t")
+    return lm.simulate_models(smooth, scores, sites(spark, d), dates, 10, wet=20.0)
+
+
+@query("w_model_transmission")
+def _(spark, d):
+    _, _, fits = site_models(spark, d)
+    scores = stored(lm.season_scores(forecast(spark, d), sites(spark, d), 30), "season-scores")
+    dates = s.season_calendar(spark, (2002, 2002), MONTHS).select("day", "t")
+    return lm.transmission(lm.simulate_models(fits, scores, sites(spark, d), dates, 30, wet=20.0), scores, totals(spark, d))
