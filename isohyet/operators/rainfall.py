@@ -160,6 +160,64 @@ def fit_mixed_exponential(cube: DataFrame, weights: DataFrame | None = None, *,
     return rows.groupBy("site_id", "month").applyInPandas(fit, f"site_id {kinds['site_id']}, month {kinds['month']}, alpha double, beta1 double, beta2 double, mix_status int")
 
 
+def domain_alphas(cube: DataFrame, *, wet: float = 0.0, strict: bool = True, most: int = 5_000_000) -> DataFrame:
+    """(month, alpha): the mixing weight of all sites' wet days together.
+
+    Equal amounts are counted first, and counts are weights of the same fit, so a
+    task holds a month's different amounts; more than ``most`` of them raise.
+    """
+    x = F.col("PRCP")
+    counted = cube.where(is_wet(x, wet, strict)).groupBy("month", x.alias("x")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        if len(group) > most:
+            raise ValueError(f"more than {most} different amounts in a month; round them")
+        group = group.sort_values("x")  # the same sums at every dealing of rows
+        return pd.DataFrame({"month": [group["month"].iloc[0]], "alpha": [mixed_exponential(group["x"].to_numpy(float), group["n"].to_numpy())[0]]})
+
+    return counted.groupBy("month").applyInPandas(fit, f"month {cube.schema['month'].dataType.simpleString()}, alpha double")
+
+
+def forecast_plane(cube: DataFrame, categories: DataFrame, prob: DataFrame, *, wet: float = 0.0, strict: bool = True, resolution: int = 2, alphas: DataFrame | None = None) -> DataFrame:
+    """(site_id, month, alpha, beta1, beta2, mix_status, plane1, plane2): means of two exponentials as planes over forecasts.
+
+    For forecasts on a grid of the simplex the years' weights, and with them the
+    means, are found; the plane [1, pb, pa] through them is read at the site's
+    own forecast, not below 0.001.  The mixing weight is the domain's, or given
+    by ``alphas`` (month, alpha).  A site without years of all three categories,
+    without a valid forecast or with a month that has no plane is left out.
+    """
+    if not 2 <= resolution <= 8:
+        raise ValueError("the grid has 2 to 8 steps a side")
+    grid = np.array([(i, j, resolution - i - j) for i in range(resolution + 1) for j in range(resolution + 1 - i)]) / resolution
+    base = np.column_stack([np.ones(len(grid)), grid[:, 0], grid[:, 2]])
+    alphas = domain_alphas(cube.join(categories.where("cat >= 0"), ["site_id", "season_year"], "left_semi"), wet=wet, strict=strict) if alphas is None else alphas
+    years = categories.where("cat >= 0").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("site_id", "cat"))).select("site_id", "season_year", "cat", "n")
+    every = years.groupBy("site_id").agg(F.countDistinct("cat").alias("kinds")).where("kinds = 3").select("site_id")
+    target = prob.where("pb + pn + pa > 0").select("site_id", (F.col("pb") / (F.col("pb") + F.col("pn") + F.col("pa"))).alias("pb"), (F.col("pa") / (F.col("pb") + F.col("pn") + F.col("pa"))).alias("pa")).join(every, "site_id", "left_semi")
+    rows = cube.select("site_id", "season_year", "month", F.when(is_wet(F.col("PRCP"), wet, strict), F.col("PRCP")).alias("x")).join(years, ["site_id", "season_year"])
+    rows = rows.join(target, "site_id").join(F.broadcast(alphas), "month", "left")  # twelve rows at most
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        x, cat, n = group["x"].to_numpy(float), group["cat"].to_numpy(int), group["n"].to_numpy(float)
+        alpha = None if pd.isna(group["alpha"].iloc[0]) else float(group["alpha"].iloc[0])
+        found = [mixed_exponential(x, q[cat] / n, alpha) for q in grid]
+        means = np.array([(f[1], f[2]) if f[3] != 2 else (np.nan, np.nan) for f in found])
+        known = np.isfinite(means[:, 0])
+        if alpha is None or known.sum() < 3 or np.linalg.matrix_rank(base[known]) < 3:
+            beta, planes = (None, None), (None, None)
+        else:
+            planes = np.linalg.lstsq(base[known], means[known], rcond=None)[0].T
+            beta = np.maximum(planes @ [1.0, group["pb"].iloc[0], group["pa"].iloc[0]], 1e-3)
+        status = max(f[3] for f in found)
+        return pd.DataFrame({"site_id": [group["site_id"].iloc[0]], "month": [group["month"].iloc[0]], "alpha": [alpha], "beta1": [beta[0]], "beta2": [beta[1]], "mix_status": [status], "plane1": [planes[0]], "plane2": [planes[1]]})
+
+    kinds = {k: cube.schema[k].dataType.simpleString() for k in ("site_id", "month")}
+    out = rows.groupBy("site_id", "month").applyInPandas(fit, f"site_id {kinds['site_id']}, month {kinds['month']}, alpha double, beta1 double, beta2 double, mix_status int, plane1 array<double>, plane2 array<double>")
+    whole = F.count_if(F.col("beta1").isNull()).over(Window.partitionBy("site_id")) == 0
+    return out.withColumn("whole", whole).where("whole").drop("whole")
+
+
 def runs_in_progress(cube: DataFrame, *, wet: float = 1.0, strict: bool = False) -> DataFrame:
     """The cube with the state of the day before (was_wet), the length of its run (run) and whether the run's start is known."""
     by = Window.partitionBy("site_id", "season_year").orderBy("day")

@@ -19,7 +19,7 @@ from ..operators import season as s
 from ..operators import semiparametric as sp
 from ..sources import panel as p
 from ..sources.store import stored
-from .queries import MONTHS, N_DAYS, SEASONS, YEARS, cube, forecast, members, query, rain, sites, sql, totals, weights
+from .queries import MONTHS, N_DAYS, SEASONS, YEARS, classes, cube, forecast, members, query, rain, sites, sql, totals, weights
 
 EVERY_YEAR = list(range(YEARS[0], YEARS[1] + 1))
 SEASON_MONTHS = [7] * 31 + [8] * 31 + [9] * 30
@@ -516,3 +516,9 @@ def _(spark, d):
     scores = stored(lm.season_scores(forecast(spark, d), sites(spark, d), 30), "season-scores")
     dates = s.season_calendar(spark, (2002, 2002), MONTHS).select("day", "t")
     return lm.transmission(lm.simulate_models(fits, scores, sites(spark, d), dates, 30, wet=20.0), scores, totals(spark, d))
+
+
+@query("w_forecast_plane")
+def _(spark, d):
+    found = rf.forecast_plane(kept_cube(spark, d), classes(spark, d), forecast(spark, d))
+    return found.select("site_id", "month", "alpha", "beta1", "beta2", "mix_status", *[F.col("plane1")[i].alias(f"plane1_{i}") for i in range(3)], *[F.col("plane2")[i].alias(f"plane2_{i}") for i in range(3)])

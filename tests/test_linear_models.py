@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.special import gammaincinv, ndtr
 from isohyet.operators import linear_models as lm
+from isohyet.operators import rainfall as rf
 from isohyet.operators import season as s
 
 RNG = np.random.default_rng(11)
@@ -92,3 +93,27 @@ def test_smoothing(spark):
     assert lm.with_smoothed(fits, lm.smooth_coefficients(fits, sites)).count() == 20
     with pytest.raises(ValueError, match="more than 5 sites"):
         lm.smooth_coefficients(fits, sites, most=5)
+
+
+def test_forecast_plane(spark):
+    rng = np.random.default_rng(6)
+    cat = {2000 + y: y % 3 for y in range(30)}
+    data = [(1, y, d, 7, float(rng.exponential(4 + 4 * c) if rng.random() < 0.6 else 0.0)) for y, c in cat.items() for d in range(31)]
+    cube = spark.createDataFrame(data, "site_id bigint, season_year int, day int, month int, PRCP double")
+    cats = spark.createDataFrame([(1, y, c) for y, c in cat.items()], "site_id bigint, season_year int, cat int")
+    prob = lambda *p: spark.createDataFrame([(1, *p)], "site_id bigint, pb double, pn double, pa double")
+    half = spark.createDataFrame([(7, 1.0)], "month int, alpha double")
+    got = rf.forecast_plane(cube, cats, prob(0.2, 0.3, 0.5), alphas=half).first()
+    # With one exponential the mean is the weighted mean, which is a ratio of linear functions of the forecast.
+    x, c = np.array([r[4] for r in data]), np.array([cat[r[1]] for r in data])
+    grid = [(i / 2, j / 2, 1 - i / 2 - j / 2) for i in range(3) for j in range(3 - i)]
+    means = [np.average(x[x > 0], weights=np.array(q)[c][x > 0]) for q in grid]
+    plane = np.linalg.lstsq(np.array([(1, q[0], q[2]) for q in grid]), np.array(means), rcond=None)[0]
+    assert np.allclose(got.plane1, plane, rtol=1e-3) and np.isclose(got.beta1, plane @ [1, 0.2, 0.5], rtol=1e-3)
+    low, high = (rf.forecast_plane(cube, cats, prob(*p)).first() for p in ((0.8, 0.1, 0.1), (0.1, 0.1, 0.8)))
+    assert np.isclose(low.alpha, high.alpha) and low.alpha * low.beta1 + (1 - low.alpha) * low.beta2 < high.alpha * high.beta1 + (1 - high.alpha) * high.beta2
+    assert np.isclose(rf.domain_alphas(cube).first().alpha, low.alpha)
+    assert rf.forecast_plane(cube, cats.where("cat < 2"), prob(0.2, 0.3, 0.5)).count() == 0
+    assert rf.forecast_plane(cube, cats, prob(None, 0.3, 0.5)).count() == 0
+    with pytest.raises(ValueError):
+        rf.forecast_plane(cube, cats, prob(0.2, 0.3, 0.5), resolution=9)
