@@ -176,6 +176,10 @@ def smooth_coefficients(fits: DataFrame, sites: DataFrame, *, most: int = 400) -
     """(site_id, model, at, mean, variance, level, tau2, rho): each coefficient as a Gaussian field observed with its
     estimate's variance, level, spread and range (chord km) by likelihood.
 
+    Coefficients are smoothed one by one.  Where predictors are nearly dependent
+    (several harmonics in a short season, a lag that hardly varies) their sum is
+    well known and they are not, so smoothed ones can be far off as a whole.
+
     One task a model and coefficient; it holds the square of the number of sites,
     so more than ``most`` sites raise.
     """

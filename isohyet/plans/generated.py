@@ -503,11 +503,11 @@ def _(spark, d):
 
 @query("w_model_seasons")
 def _(spark, d):
+    """From the sites' own coefficients; what smoothing does to them is said in ``smooth_coefficients``."""
     _, _, fits = site_models(spark, d)
-    smooth = lm.with_smoothed(fits, lm.smooth_coefficients(fits, sites(spark, d)))
     scores = lm.season_scores(forecast(spark, d), sites(spark, d), 10, field=fl.Field(features=64))
     dates = s.season_calendar(spark, (2002, 2002), MONTHS).select("day", "t")
-    return lm.simulate_models(smooth, scores, sites(spark, d), dates, 10, wet=20.0)
+    return lm.simulate_models(fits, scores, sites(spark, d), dates, 10, wet=20.0)
 
 
 @query("w_model_transmission")
