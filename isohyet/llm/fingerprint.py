@@ -104,7 +104,8 @@ def group_bounds(docs: DataFrame, scratch: Scratch) -> DataFrame:
     groups = max(1, min(MAX_GROUPS, n // GROUP))
     chance = 1.0 if n <= SAMPLE * groups else SAMPLE * groups / n
     sample = docs.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < int(chance * (1 << 30))).agg(F.sort_array(F.collect_list("id")).alias("ids"))  # about SAMPLE * MAX_GROUPS ids
-    cut = F.transform(F.sequence(F.lit(1), F.lit(groups - 1)), lambda i: F.get("ids", F.floor(i * F.size("ids") / groups).cast("int")))
+    # From about 11,600 groups on, the product is beyond 32 bits.
+    cut = F.transform(F.sequence(F.lit(1), F.lit(groups - 1)), lambda i: F.get("ids", F.floor(i.cast("bigint") * F.size("ids") / groups).cast("int")))
     return scratch.write(sample.select((cut if groups > 1 else F.array().cast("array<bigint>")).alias("bounds")), "bounds")
 
 

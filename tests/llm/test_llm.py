@@ -229,6 +229,20 @@ def test_fingerprints(docs, rows):
     assert fingerprint.fingerprints(docs.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_next_documents_of_many_groups(spark, monkeypatch):
+    """Places among the sampled ids, times groups, are beyond 32 bits, as they are over 6 GB in groups of 256."""
+    monkeypatch.setattr(fingerprint, "GROUP", 12)
+    n, groups = 200_000, fingerprint.MAX_GROUPS
+    assert n // fingerprint.GROUP >= groups and n <= fingerprint.SAMPLE * groups and n * groups > 2**31
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") * 3 - n).alias("id"), F.col("id").alias("rid"), F.col("id").cast("string").alias("text"))
+    bounds = fingerprint.group_bounds(docs.select("id"), Scratch(spark, "bounds")).first().bounds
+    assert len(bounds) == groups - 1 and {b - a for a, b in zip([-n, *bounds], [*bounds, 2 * n])} == {36, 39}
+    after = F.pmod(F.col("doc_id") + 1, F.lit(n))
+    right = (F.col("next_id") == after * 3 - n) & (F.col("next_rid") == after) & (F.col("next_text") == after.cast("string"))
+    got = fingerprint.with_next(docs, Scratch(spark, "many")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.count_if(right).alias("right")).first()
+    assert (got.n, got.ids, got.right) == (n, n, n)
+
+
 def cleaned(rows):
     ws, first, out = " \t\n\x0b\f\r", {}, {}
     for i, t in sorted(rows):
